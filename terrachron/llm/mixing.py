@@ -51,9 +51,10 @@ def targets(sources: DataFrame, weights: Sequence[int], share: float = 1.5, most
     one = one.withColumn("size_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
     one = one.withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0)))
     one = one.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(every) - F.lit(float(most)) * F.col("size_before")) / (F.sum("w").over(every) - F.col("w_before")))
-    # a source is full while the level of those not yet full reaches its limit
+    # a source is full while the level of those not yet full reaches its limit; the level rises
+    # over the full ones and falls after the first other one, which has the rate of all others
     full = F.col("level") >= F.col("per")
-    one = one.withColumn("rate", F.min(F.when(~full, F.col("level"))).over(every))
+    one = one.withColumn("rate", F.max("level").over(every))
     target = F.when(full, F.col("limit")).otherwise(F.col("w") * F.col("rate"))
     return one.select("source", "source_size", target.alias("target"))
 
@@ -74,7 +75,7 @@ def _plan(sizes: DataFrame, weights, share, most, seed, shards) -> DataFrame:
     plan = stored(plan.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long")))
     total = quotas(plan, shards).groupBy("source").agg(F.sum("quota").alias("quota"))
     plan = plan.join(total, plan.source.eqNullSafe(total.source)).drop(total.source)
-    rounds = F.when(F.col("blocks") > 0, F.expr("least(quota div blocks, cast(2 as bigint))")).otherwise(F.lit(0).cast("long"))
+    rounds = F.when(F.col("blocks") > 0, F.expr(f"least(quota div blocks, cast({int(most)} as bigint))")).otherwise(F.lit(0).cast("long"))
     extra = F.when((F.col("blocks") > 0) & (F.col("rounds") < F.lit(int(most))), F.col("quota") - F.col("rounds") * F.col("blocks")).otherwise(F.lit(0).cast("long"))
     phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return plan.withColumn("rounds", rounds).withColumn("extra", extra).withColumn("phase", phase)
@@ -139,7 +140,7 @@ b AS (SELECT *, coalesce(sum(source_size) OVER r, 0) AS size_before, coalesce(su
       FROM l WINDOW r AS (ORDER BY per, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (1.5::DOUBLE * CAST(size_all AS DOUBLE) - 2.0::DOUBLE * CAST(size_before AS DOUBLE)) / CAST(w_all - w_before AS DOUBLE) AS level FROM b),
 t AS (SELECT source, source_size, CASE WHEN level >= per THEN lim
-             ELSE w * min(CASE WHEN level < per THEN level END) OVER () END AS target FROM v),
+             ELSE w * max(level) OVER () END AS target FROM v),
 p AS (SELECT *, CAST(greatest(1, least(2048, floor(coalesce(min(CASE WHEN target > 0 THEN target END) OVER (), 0.0) / 128))) AS BIGINT) AS block FROM t),
 q AS (SELECT *, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks,
              CAST(floor(target * 24 / (block * 24.0::DOUBLE) + 0.5) AS BIGINT) AS quota,

@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 from .common import shared_dir, stored
 
 OLD, NEW, BLOCKS, ROW_BYTES = 16, 24, 1024, 8
-#: A row over this part of a shard's capacity comes first in its old shard and so stays where it can.
+#: Rows over this part of a shard's capacity come first in their old shard, largest first,
+#: and so stay where they can; there are at most NEW * LARGE of them in all.
 LARGE = 256
 
 
@@ -91,7 +92,7 @@ def assign(rows: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
     block = F.when(F.col("size") > large, F.lit(0)).otherwise(1 + F.pmod(F.shiftright(h, 20), F.lit(BLOCKS - 1)))
     keyed = rows.withColumn("old_shard", F.pmod(h, F.lit(old)).cast("int")).withColumn("block", block.cast("int")).withColumn("h", h)
-    # large rows are few in a shard (at most new * LARGE / old on average) and form block 0
+    # large rows form block 0: at most new * LARGE in all shards
     totals = keyed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas()
     totals = totals.sort_values(["old_shard", "block"], ignore_index=True)
     supply = [int(totals.bytes[totals.old_shard == i].sum()) for i in range(old)]
@@ -109,7 +110,8 @@ def assign(rows: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
         plan.append((int(i), int(b), int(at), [(lo, hi, j) for lo, hi, j in cuts.get(i, []) if lo < at + size and hi > at]))
     bounds = spark.createDataFrame(plan, "old_shard int, block int, at long, parts array<struct<lo: long, hi: long, shard: int>>")
     # bounded: at most old * BLOCKS rows
-    inside = Window.partitionBy("old_shard", "block").orderBy("h", "doc_id", "size", *extra)
+    keyed = keyed.withColumn("rank", F.when(F.col("block") == 0, -F.col("size")).otherwise(0))
+    inside = Window.partitionBy("old_shard", "block").orderBy("rank", "h", "doc_id", "size", *extra)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(F.broadcast(bounds), ["old_shard", "block"])
     middle = F.col("at") + F.col("before") + F.expr("size div 2")
@@ -118,9 +120,9 @@ def assign(rows: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     counts = placed.groupBy("shard", "old_shard", "block").count().toPandas().sort_values(["shard", "old_shard", "block"], ignore_index=True)
     counts["first"] = counts.groupby("shard")["count"].cumsum() - counts["count"]
     firsts = spark.createDataFrame(counts[["shard", "old_shard", "block", "first"]].astype("int64") if len(counts) else pd.DataFrame(columns=["shard", "old_shard", "block", "first"]), "shard int, old_shard int, block int, first long")
-    order = Window.partitionBy("shard", "old_shard", "block").orderBy("h", "doc_id", "size", *extra)
+    order = Window.partitionBy("shard", "old_shard", "block").orderBy("rank", "h", "doc_id", "size", *extra)
     out = placed.withColumn("row", F.row_number().over(order)).join(F.broadcast(firsts), ["shard", "old_shard", "block"])
-    return out.withColumn("slot", F.col("first") + F.col("row") - 1).drop("row", "first", "h", "block")
+    return out.withColumn("slot", F.col("first") + F.col("row") - 1).drop("row", "first", "h", "rank", "block")
 
 
 def rewrite(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
