@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, jaccard, mixing, quality, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, jaccard, mixing, quality, secret_scan, sharding, toxicity, url_filter
 from .common import stored, table
 
 
@@ -13,6 +13,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,10 +43,29 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_toxicity, op5_source_mixing, op6_flow_resharding, op7_ngram_jaccard_join, op8_quality_classifier, op10_url_filter)}
-
-SQL = {"op5_source_mixing": mixing.MIX_SQL, "op10_url_filter": url_filter.JUDGE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_secret_scan,
+        op3_toxicity,
+        op5_source_mixing,
+        op6_flow_resharding,
+        op7_ngram_jaccard_join,
+        op8_quality_classifier,
+        op9_benchmark_decontamination,
+        op10_url_filter,
+    )
+}
+
+SQL = {"op5_source_mixing": mixing.MIX_SQL, "op9_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op10_url_filter": url_filter.JUDGE_SQL}
