@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard, mixing, quality, secret_scan, sharding, toxicity, url_filter
+from . import decontaminate, fingerprint, jaccard, mixing, pii, quality, secret_scan, sharding, toxicity, url_filter
 from .common import stored, table
 
 
@@ -22,6 +22,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.extract(table(spark, sf_dir, "documents"))
+    show = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    count = lambda i: F.size(F.filter("spans", lambda x: x["rank"] == i)).cast("long")
+    base = F.filter("spans", lambda x: x["rank"] < len(pii.KINDS))
+    return out.select(
+        "doc_id",
+        *[count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(F.array_join(F.transform(base, show), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", show), ",").alias("spans"),
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +72,7 @@ QUERIES = {
         op1_document_fingerprints,
         op2_secret_scan,
         op3_toxicity,
+        op4_personal_data,
         op5_source_mixing,
         op6_flow_resharding,
         op7_ngram_jaccard_join,
