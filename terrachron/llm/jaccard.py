@@ -46,7 +46,7 @@ HINT_DOCS, HINT_SHINGLES = 4096, 65_536
 
 _U = np.uint64
 _HIGH = _U(2**64 - 2**24)
-_MIX = "kind int, target int, doc_id long, set_id long, n long, blob binary"
+_MIX = "kind int, target int, doc_id long, text_key long, set_id long, n long, blob binary"
 
 
 def set_id(s: np.ndarray) -> int:
@@ -119,10 +119,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int | None, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[object, np.ndarray]]:
+    """The first columns of each row, if there are several as a tuple, with the set of the last one, the text."""
     for b in batches:
-        ids = b.column(0).to_pylist()
-        for first, _, data, off in V.texts(b.column(1)):
+        ids = b.column(0).to_pylist() if b.num_columns == 2 else list(zip(*(c.to_pylist() for c in b.columns[:-1])))
+        for first, _, data, off in V.texts(b.columns[-1]):
             for i, s in enumerate(V.shingle_sets(data, off, words)):
                 yield ids[first + i], s
 
@@ -131,7 +132,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-_ROWS = pa.schema([("kind", pa.int32()), ("target", pa.int32()), ("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
+_ROWS = pa.schema([("kind", pa.int32()), ("target", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 
 
 def _scan(words: int, percent: int, targets: int, common):
@@ -151,10 +152,10 @@ def _scan(words: int, percent: int, targets: int, common):
             new[1:] = sig[1:] != sig[:-1]
             dup = ~new
             dup[:-1] |= ~new[1:]
-            rows = [(0, (task * 31 + i) % targets, d, s, n, None) for i, (d, s, n) in enumerate(docs)]
+            rows = [(0, (task * 31 + i) % targets, *d, s, n, None) for i, (d, s, n) in enumerate(docs)]
             shared, names = sig[dup], own[dup]
             for at in range(0, len(shared), 4096):
-                rows.append((2, (task * 31 + at // 4096) % targets, None, None, None, shared[at : at + 4096].tobytes() + names[at : at + 4096].tobytes()))
+                rows.append((2, (task * 31 + at // 4096) % targets, None, None, None, None, shared[at : at + 4096].tobytes() + names[at : at + 4096].tobytes()))
             sig, own = sig[new], own[new]
             to = (sig & _U(targets - 1)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -163,7 +164,7 @@ def _scan(words: int, percent: int, targets: int, common):
             low = (sig >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
             for t in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[t], cut[t + 1]
-                rows.append((1, t, None, None, None, low[a:b].tobytes() + own[a:b].tobytes()))
+                rows.append((1, t, None, None, None, None, low[a:b].tobytes() + own[a:b].tobytes()))
             for x in (docs, sigs, owners):
                 x.clear()
             seen.clear()
@@ -187,22 +188,23 @@ def _scan(words: int, percent: int, targets: int, common):
     return run
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
 
 
 def _meet(batches):
     """Kind 0: documents as they came; kind 1: ``(sig, set_id)`` of signatures that two sets share."""
     keys, names = [], []
 
-    def out(kind, doc, name, n, sig):
+    def out(name, sig):
         for at in range(0, len(name), 50_000):
-            c = slice(at, at + 50_000)
-            yield _batch(_FOUND, [kind] * len(name[c]), doc[c], name[c], n[c], sig[c])
+            a, b = name[at : at + 50_000], sig[at : at + 50_000]
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.record_batch([pa.array(np.ones(len(a), np.int32)), none, none, pa.array(a), none, pa.array(b)], schema=_FOUND)
 
     for b in batches:
         kind = b.column("kind").to_numpy()
         own = b.take(pa.array(np.flatnonzero(kind == 0)))
-        yield pa.record_batch([own.column(x) for x in ("kind", "doc_id", "set_id", "n")] + [pa.nulls(len(own), pa.int64())], schema=_FOUND)
+        yield pa.record_batch([own.column(x) for x in ("kind", "doc_id", "text_key", "set_id", "n")] + [pa.nulls(len(own), pa.int64())], schema=_FOUND)
         target, blob = b.column("target").to_pylist(), b.column("blob")
         for i in np.flatnonzero(kind == 1).tolist():
             raw = blob[i].as_buffer()
@@ -214,8 +216,7 @@ def _meet(batches):
         for i in np.flatnonzero(kind == 2).tolist():
             raw = blob[i].as_buffer()
             n = raw.size // 16
-            none = [None] * n
-            yield from out(1, none, np.frombuffer(raw, np.int64, n, n * 8), none, np.frombuffer(raw, np.int64, n))
+            yield from out(np.frombuffer(raw, np.int64, n, n * 8), np.frombuffer(raw, np.int64, n))
     if keys:
         key, name = np.concatenate(keys), np.concatenate(names)
         order = np.lexsort((name, key))
@@ -227,8 +228,7 @@ def _meet(batches):
         same[1:] = key[1:] == key[:-1]
         same[:-1] |= same[1:].copy()
         key, name = key[same], name[same]
-        none = [None] * len(key)
-        yield from out(1, none, name, none, key.view(np.int64))
+        yield from out(name, key.view(np.int64))
 
 
 def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
         for _, s in _sets(batches, words):
             yield pa.record_batch([pa.array(s.view(np.int64))], ["h"])
 
-    kept = picked.mapInArrow(count, "h long").groupBy("h").count().where("count >= 4")
+    kept = picked.select("doc_id", "text").mapInArrow(count, "h long").groupBy("h").count().where("count >= 4")
     top = kept.orderBy(F.desc("count"), "h").limit(HINT_SHINGLES).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(top.view(_U))
 
@@ -276,13 +276,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int,
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, set_id, component_id, n_links`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, text_key, n_shingles, set_id, class_id, component_id, n_links`` for every row of ``docs(doc_id, text)``.
 
     ``n_shingles`` is the size of the document's set of ``words``-word shingles over
     words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document of fewer words
     has its whole sequence as one. Documents link when 100*|A&B| >= percent*|A|B|.
     ``component_id`` is the smallest doc_id reachable by links, ``set_id`` the name
-    of the set, equal for equal sets and null for empty ones.
+    of the set, equal for equal sets and null for empty ones, ``class_id`` that of the
+    component, ``text_key`` xxhash64 of the text and ``n_links`` the set's links to other sets.
 
     Null or empty text, or text of spaces only: an empty set, linked with nothing,
     so the component is the row's own doc_id. Repeated rows and ties are equal sets
@@ -294,9 +295,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     targets = 1 << max(6, (4 * n - 1).bit_length())
     top = _common_shingles(docs, words)
     common = spark.sparkContext.broadcast(top.tobytes()) if len(top) else None
-    rows = docs.mapInArrow(_scan(words, percent, targets, common), _MIX)
-    found = stored(rows.repartition(n, "target").mapInArrow(_meet, "kind int, doc_id long, set_id long, n long, sig long"))
-    members = found.where("kind = 0").select("doc_id", "set_id", "n")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_scan(words, percent, targets, common), _MIX)
+    found = stored(rows.repartition(n, "target").mapInArrow(_meet, "kind int, doc_id long, text_key long, set_id long, n long, sig long"))
+    members = found.where("kind = 0").select("doc_id", "text_key", "set_id", "n")
     shared = found.where("kind = 1").select("sig", "set_id").distinct()
     shared = stored(shared)
 
@@ -325,9 +326,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def _result(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("set_id")).unionAll(links.select("b")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     sets = classes.select(F.col("node").alias("set_id"), "component").join(ends, "set_id", "left")
-    filled = members.where("set_id is not null").join(sets, "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    filled = members.where("set_id is not null").join(sets, "set_id", "left").select("doc_id", "text_key", "set_id", "n", F.coalesce("component", "set_id").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     filled = stored(filled)
     least = filled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    filled = filled.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "set_id", "component_id", "n_links")
-    blank = members.where("set_id is null").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    filled = filled.join(least, "c").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", F.col("c").alias("class_id"), "component_id", "n_links")
+    blank = members.where("set_id is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return filled.unionByName(blank)
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each class: its smallest doc_id (null last). Rows without words all stay.
+
+    Only the rows that go, and rows that repeat one id and text, are joined with the
+    texts; both are broadcast if they are few and shuffled otherwise.
+    """
+    rows = stored(jaccard_classes(docs, words, percent).where("class_id is not null").groupBy("class_id", "doc_id", "text_key").agg(F.count("*").alias("rows")))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    best = rows.groupBy("class_id").agg(F.min(first).alias("best"))
+    rows = stored(rows.join(best, "class_id").withColumn("stays", first == F.col("best")).select("doc_id", "text_key", "rows", "stays"))
+    key = F.xxhash64("text")
+
+    def side(df: DataFrame):
+        s = small(df.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t")))
+        return s, docs.doc_id.eqNullSafe(s.d) & (key == s.t)
+
+    kept = docs.join(*side(rows.where("not stays")), "left_anti")
+    again = rows.where("stays and rows > 1")
+    if again.take(1):
+        s, _ = side(again)
+        same = kept.doc_id.eqNullSafe(s.d) & (key == s.t)
+        once = kept.join(s, same, "left_semi").withColumn("t__", key).dropDuplicates(["doc_id", "t__"]).drop("t__")
+        kept = kept.join(s, same, "left_anti").unionByName(once)
+    return kept

@@ -98,7 +98,7 @@ def placed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
     """Documents with their place on the source's line and what the mix takes of them.
 
     ``docs(doc_id, text, source)`` gives ``doc_id, source, key, size, source_size,
-    target, taken, copies``. ``size`` is the number of words (null text: 0), ``taken``
+    target, text_key, taken, copies``. ``size`` is the number of words (null text: 0), ``taken``
     the words in awarded blocks, repeats counted, at most ``most`` times the size;
     ``copies`` how often the block with the document's first word is taken.
 
@@ -108,7 +108,7 @@ def placed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
     the order is that of md5(seed, doc_id), then doc_id and size.
     """
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = stored(docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size")))
+    sizes = stored(docs.select("doc_id", "source", key.alias("key"), F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size")))
     bucket = F.substring("key", 1, 3)
     sums = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +123,29 @@ def placed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
     taken = F.col("rounds") * F.col("size") + _up_to(F.col("start") + F.col("size")) - _up_to(F.col("start"))
     first = F.floor(F.least(F.col("start"), F.greatest(F.col("source_size") - 1, F.lit(0))) / F.col("block"))
     copies = F.col("rounds") + _chosen(first + 1) - _chosen(first)
-    return at.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    return at.select("doc_id", "source", "key", "text_key", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: every row of ``docs`` as often as its first word's block is taken, columns kept.
+
+    Rows alike in doc_id, source and text share their copies evenly.
+    """
+    place = placed(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    place = stored(place.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("t"), "copies", "rows"))
+    key = F.xxhash64("text")
+
+    def joined(part: DataFrame) -> DataFrame:
+        side = small(part)
+        return docs.join(side, docs.doc_id.eqNullSafe(side.d) & docs.source.eqNullSafe(side.s) & (key == side.t))
+
+    out = joined(place.where("rows = 1 and copies > 0"))
+    again = place.where("rows > 1 and copies > 0")
+    if again.take(1):
+        order = Window.partitionBy("d", "s", "t").orderBy(*[c for c in docs.columns if c != "text"])
+        more = joined(again).withColumn("r__", F.row_number().over(order))
+        out = out.unionByName(more.withColumn("copies", F.expr("copies div rows + int(r__ <= copies % rows)")).drop("r__"))
+    return out.where("copies > 0").withColumn("copy__", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 #: The same as ``placed`` with its defaults, as SQL over ``documents``.

@@ -40,9 +40,8 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sharding.with_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = stored(docs.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")))
-    return sharding.assign(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = stored(sharding.with_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return sharding.assign(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,29 +71,50 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 
 
 def with_bytes(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``: the text's UTF-8 bytes (null: none) plus ``ROW_BYTES``."""
-    return docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)
+    """``docs`` with ``size``, the text's UTF-8 bytes (null: none) plus ``ROW_BYTES``, and ``text_crc32`` (null: of no bytes, 0)."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    return docs.withColumn("size", size).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
 
 
-def assign(rows: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
-    """``rows(doc_id, size, ...)`` with ``old_shard``, ``shard`` and ``slot``.
+_ORDER = ("rank", "h", "doc_id", "size", "text_crc32")
+
+
+def _keyed(rows: DataFrame, old: int, large: int) -> DataFrame:
+    """The old shard, block and place in the block's order of every row, from the row alone."""
+    h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
+    block = F.when(F.col("size") > large, F.lit(0)).otherwise(1 + F.pmod(F.shiftright(h, 20), F.lit(BLOCKS - 1)))
+    rows = rows.withColumn("h", h).withColumn("old_shard", F.pmod("h", F.lit(old)).cast("int")).withColumn("block", block.cast("int"))
+    return rows.withColumn("rank", F.when(F.col("block") == 0, -F.col("size")).otherwise(0))
+
+
+def _transferred(keyed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows with ``row``, their number in the block from 1, and the new ``shard``."""
+    inside = Window.partitionBy("old_shard", "block").orderBy(*_ORDER)
+    before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = keyed.withColumn("before", before).withColumn("row", F.row_number().over(inside))
+    rows = rows.join(F.broadcast(bounds), ["old_shard", "block"])
+    middle = F.col("at") + F.col("before") + F.expr("size div 2")
+    fits = F.filter("parts", lambda p: (p["lo"] <= middle) & (middle < p["hi"]))
+    return rows.withColumn("shard", F.coalesce(F.try_element_at(fits, F.lit(1))["shard"], F.element_at("parts", -1)["shard"])).drop("parts", "at", "before")
+
+
+def assign(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
+    """``docs(doc_id, size, text_crc32, ...)`` with ``old_shard``, ``shard`` and ``slot``.
 
     Shard sizes are within a row or two of each other: every boundary of the flow
     falls between two rows. Slots count from 0 in each shard without gaps. Rows of
-    one id, and null ids, are placed one by one; ties go by size and text_crc32 where
-    it is there, and what is then equal is interchangeable. No rows give no rows.
-    The rows should be ``stored``: they are read three times.
+    one id, and null ids, are placed one by one; ties go by size and checksum, and
+    what is then equal is interchangeable. Other columns are carried once, in the
+    last pass; the flow and the counts are made from the three. No rows give no rows;
+    columns named like those added, or ``h, block, rank, row``, are replaced.
     """
-    spark = rows.sparkSession
-    total = int(rows.agg(F.sum("size")).first()[0] or 0)
+    docs = docs.drop("old_shard", "shard", "slot", "h", "block", "rank", "row", "before", "at", "parts", "first")
+    spark, light = docs.sparkSession, stored(docs.select("doc_id", "size", "text_crc32"))
+    total = int(light.agg(F.sum("size")).first()[0] or 0)
     large = max(1, total // new // LARGE)
-    extra = ["text_crc32"] if "text_crc32" in rows.columns else []
-    h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
-    block = F.when(F.col("size") > large, F.lit(0)).otherwise(1 + F.pmod(F.shiftright(h, 20), F.lit(BLOCKS - 1)))
-    keyed = rows.withColumn("old_shard", F.pmod(h, F.lit(old)).cast("int")).withColumn("block", block.cast("int")).withColumn("h", h)
+    keyed = _keyed(light, old, large)
     # large rows form block 0: at most new * LARGE in all shards
-    totals = keyed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas()
-    totals = totals.sort_values(["old_shard", "block"], ignore_index=True)
+    totals = keyed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).toPandas().sort_values(["old_shard", "block"], ignore_index=True)
     supply = [int(totals.bytes[totals.old_shard == i].sum()) for i in range(old)]
     flow = min_cost_flow(supply, equal_capacities(total, new), lambda i, j: int(i != j))
     # each old shard's bytes, in block order: what stays first, then what goes to each new shard
@@ -106,23 +126,16 @@ def assign(rows: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
             at += flow[i, j]
     starts = totals.groupby("old_shard").bytes.cumsum() - totals.bytes
     plan = []
-    for i, b, size, n, at in zip(totals.old_shard, totals.block, totals.bytes, totals.rows, starts):
+    for i, b, size, at in zip(totals.old_shard, totals.block, totals.bytes, starts):
         plan.append((int(i), int(b), int(at), [(lo, hi, j) for lo, hi, j in cuts.get(i, []) if lo < at + size and hi > at]))
+    # bounded: at most old * BLOCKS rows, and a few more for split blocks
     bounds = spark.createDataFrame(plan, "old_shard int, block int, at long, parts array<struct<lo: long, hi: long, shard: int>>")
-    # bounded: at most old * BLOCKS rows
-    keyed = keyed.withColumn("rank", F.when(F.col("block") == 0, -F.col("size")).otherwise(0))
-    inside = Window.partitionBy("old_shard", "block").orderBy("rank", "h", "doc_id", "size", *extra)
-    placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(F.broadcast(bounds), ["old_shard", "block"])
-    middle = F.col("at") + F.col("before") + F.expr("size div 2")
-    fits = F.filter("parts", lambda p: (p["lo"] <= middle) & (middle < p["hi"]))
-    placed = stored(placed.withColumn("shard", F.coalesce(F.try_element_at(fits, F.lit(1))["shard"], F.element_at("parts", -1)["shard"])).drop("parts", "at", "before"))
-    counts = placed.groupBy("shard", "old_shard", "block").count().toPandas().sort_values(["shard", "old_shard", "block"], ignore_index=True)
-    counts["first"] = counts.groupby("shard")["count"].cumsum() - counts["count"]
-    firsts = spark.createDataFrame(counts[["shard", "old_shard", "block", "first"]].astype("int64") if len(counts) else pd.DataFrame(columns=["shard", "old_shard", "block", "first"]), "shard int, old_shard int, block int, first long")
-    order = Window.partitionBy("shard", "old_shard", "block").orderBy("rank", "h", "doc_id", "size", *extra)
-    out = placed.withColumn("row", F.row_number().over(order)).join(F.broadcast(firsts), ["shard", "old_shard", "block"])
-    return out.withColumn("slot", F.col("first") + F.col("row") - 1).drop("row", "first", "h", "rank", "block")
+    counts = _transferred(keyed, bounds).groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("row").alias("row")).toPandas()
+    counts = counts.sort_values(["shard", "old_shard", "block"], ignore_index=True)
+    counts["first"] = counts.groupby("shard")["n"].cumsum() - counts["n"] - counts["row"]
+    firsts = spark.createDataFrame([tuple(map(int, r)) for r in counts[["shard", "old_shard", "block", "first"]].to_numpy()], "shard int, old_shard int, block int, first long")
+    out = _transferred(_keyed(docs, old, large), bounds).join(F.broadcast(firsts), ["shard", "old_shard", "block"])
+    return out.select(*docs.columns, "old_shard", "shard", (F.col("first") + F.col("row")).alias("slot"))
 
 
 def rewrite(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
