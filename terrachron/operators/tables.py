@@ -1,0 +1,14 @@
+"""Joins whose small side is checked before it is broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Most rows of a side that is broadcast by hint; beyond it Spark shuffles both sides.
+BROADCAST_ROWS = 500_000
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it is known to have at most ``rows`` rows, within the limit."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
