@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grids as G
+from ..functions.codecs import inflate, unmask
 from ..functions.dates import MIN_JPEG_DATE, packed_date
+from ..sources.dbroot import read_packet
 
 
 def reachable(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -44,3 +47,34 @@ def with_copyright(versions: DataFrame, providers: DataFrame) -> DataFrame:
     """Versions with their provider's name; blank names count as none. ``providers`` is a small dimension table."""
     names = providers.select(F.col("provider_id").alias("provider"), F.nullif("copyright", F.lit("")).alias("provider_name"))
     return versions.join(names, "provider", "left")
+
+
+def decoded_nodes(payloads: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``packet, number, cache_node_epoch, imagery_epoch, dates`` from recorded packets ``(packet, body)``.
+
+    ``packet`` is the path of the packet's top. A body that can't be read gives no rows.
+    """
+    schema = "packet string, number int, cache_node_epoch int, imagery_epoch int, dates array<struct<date:int,epoch:int,provider:int>>"
+    dated = pa.list_(pa.struct([("date", pa.int32()), ("epoch", pa.int32()), ("provider", pa.int32())]))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, body in zip(b.column("packet").to_pylist(), b.column("body").to_pylist()):
+                try:
+                    _, nodes = read_packet(inflate(unmask(body, key) if key else body))
+                except Exception:  # noqa: BLE001  damage of any kind means no nodes
+                    continue
+                rows += [(path, n, c, i, [dict(zip(("date", "epoch", "provider"), d)) for d in ds]) for n, c, i, ds in nodes]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.record_batch([pa.array(cols[0], pa.string()), *[pa.array(cols[i], pa.int32()) for i in (1, 2, 3)], pa.array(cols[4], dated)], ["packet", "number", "cache_node_epoch", "imagery_epoch", "dates"])
+
+    return payloads.select("packet", "body").mapInArrow(run, schema)
+
+
+def nodes_of_tiles(tiles: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Each tile's node: the packet above its path and the number in it, by one equi-join."""
+    last = F.length("path") - 1
+    above = F.when(last < 4, F.lit("0")).otherwise(F.substr(F.col("path"), F.lit(1), last - F.pmod(last - 1, F.lit(4))))
+    keyed = tiles.withColumn("packet", above).withColumn("number", G.subindex(F.col("path")))
+    return keyed.join(decoded, ["packet", "number"]).select("path", "cache_node_epoch", "imagery_epoch", "dates")

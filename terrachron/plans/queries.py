@@ -13,6 +13,7 @@ from ..functions import dates as D
 from ..functions import grids as G
 from ..functions import values as X
 from ..operators import coverage, history, matching, mosaic, quadtree, releases, tiles
+from ..sources.payloads import fresh, latest
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,9 +264,9 @@ def first_usable(spark, sf_dir):
 
 
 @query(V.with_sql(V.CAPTURES) + f"""SELECT CAST(c AS BIGINT) AS tile_col, CAST(r AS BIGINT) AS tile_row, 17 AS zoom FROM range({int(_X[0])}, {int(_X[1]) + 1}) a(c), range({int(_Y[0])}, {int(_Y[1]) + 1}) b(r)
-  WHERE NOT EXISTS (SELECT 1 FROM captures WHERE tile_col = c AND tile_row = r AND capture_date = DATE '1995-01-01')""")
+  WHERE NOT EXISTS (SELECT 1 FROM captures WHERE tile_col = c AND tile_row = r AND capture_date = DATE '2001-11-01')""")
 def missing_tiles(spark, sf_dir):
-    found = V.captures(spark, sf_dir).where("capture_date = date '1995-01-01'")
+    found = V.captures(spark, sf_dir).where("capture_date = date '2001-11-01'")
     return matching.missing_tiles(tiles.select_tiles(spark, AOI, G.MERCATOR, 17), found)
 
 
@@ -478,8 +479,6 @@ _PAYLOADS = """payloads AS (SELECT user_id AS key, ts AS fetched_at, event_id, C
 
 @query(V.with_sql(_PAYLOADS) + """SELECT key, fetched_at, event_id, size FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fetched_at DESC, event_id DESC) AS n FROM payloads) q WHERE n = 1 AND fetched_at >= TIMESTAMP '2024-01-29 00:00:00'""")
 def cache_freshness(spark, sf_dir):
-    from ..sources.payloads import fresh, latest
-
     e = V.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("fetched_at"), "event_id", F.length("event_type").alias("size"))
     return fresh(latest(e, ("event_id",)), "1 day", "2024-01-30 00:00:00")
 
