@@ -53,6 +53,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session: whole texts are long,
+    and two Python workers share what an executor's heap leaves."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def crc_mod(doc_id: int | None, m: int) -> int:
     """crc32 of ``doc_id`` as text, modulo ``m``: the fold of a labelled row."""
     return zlib.crc32(str(doc_id).encode()) % m

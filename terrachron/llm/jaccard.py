@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import small, stored
+from .common import short_batches, small, stored
 from .components import components
 
 #: Signatures that a task holds before it sends them on.
-WINDOW = 1_500_000
+WINDOW = 500_000
 #: The sample behind the rare/common hint: documents, and shingles kept.
 HINT_DOCS, HINT_SHINGLES = 4096, 65_536
 
@@ -291,6 +291,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Other columns are ignored; an empty table gives no rows.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    short_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     targets = 1 << max(6, (4 * n - 1).bit_length())
     top = _common_shingles(docs, words)
