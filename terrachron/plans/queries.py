@@ -5,14 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import archive as A
+from ..functions import codecs as C
 from ..functions import dates as D
+from ..functions import geometry as Y
 from ..functions import grids as G
 from ..functions import values as X
-from ..operators import coverage, history, matching, mosaic, quadtree, releases, tiles
+from ..operators import coverage, history, matching, mosaic, polygons, quadtree, raster, releases, tiles
+from ..sources import catalogue
 from ..sources.payloads import fresh, latest
 from . import views as V
 
@@ -520,3 +525,78 @@ def provider_names(spark, sf_dir):
     p = V.sources(spark, sf_dir).select(F.col("source_id").alias("provider_id"), F.when(F.col("source_id") % 6 == 0, F.lit("")).otherwise(F.col("provider")).alias("copyright"))
     v = V.captures(spark, sf_dir).withColumnRenamed("source_id", "provider")
     return quadtree.with_copyright(v, p).groupBy("object_id", "part_no").agg(F.count("*").alias("n"), F.max("provider_name").alias("provider_name"))
+
+
+# -- decoding ------------------------------------------------------------------------
+_KEY = bytes((i * 37 + 11) % 256 for i in range(1016))
+
+
+@query("SELECT event_id, sha256(props) AS digest, CAST(length(props) AS INT) AS n FROM events WHERE event_id % 10 = 0 AND props IS NOT NULL")
+def xor_decode(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def masked(body: pd.Series) -> pd.Series:
+        return pd.Series([C.unmask(bytes(b), _KEY) for b in body])
+
+    e = V.read(spark, sf_dir, "events").where("event_id % 10 = 0 and props is not null")
+    return e.select("event_id", masked(masked(F.encode("props", "utf-8"))).alias("b")).select("event_id", F.sha2("b", 256).alias("digest"), F.length("b").alias("n"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 3 THEN NULL ELSE 'png' END AS image_format, CASE WHEN s_suppkey % 4 < 3 THEN CASE s_suppkey % 4 WHEN 0 THEN 256 ELSE 64 END END AS width, s_suppkey % 4 = 0 AS is_tile FROM supplier""")
+def payload_inspect(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def payload(k: pd.Series) -> pd.Series:
+        image = {0: C.write_png(np.zeros((256, 256, 3), np.uint8)), 1: C.write_png(np.zeros((64, 64), np.uint8)), 2: C.write_png(np.zeros((64, 64, 3), np.uint8)), 3: b"no image"}
+        return k.map(lambda x: image[x % 4])
+
+    s = V.read(spark, sf_dir, "supplier").select("s_suppkey", payload("s_suppkey").alias("content")).withColumn("info", raster.inspect(F.col("content")))
+    return s.select("s_suppkey", "info.image_format", "info.width", raster.is_tile(F.col("info")).alias("is_tile"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS path, n AS number, CASE n WHEN 0 THEN 3 ELSE 64 END AS children, CAST(s_suppkey % 100 + n AS INT) AS cache_node_epoch, CASE n WHEN 0 THEN 0 ELSE 1 END AS n_layers
+FROM supplier, (SELECT CAST(unnest([0, 1, 86]) AS INT) AS n) q WHERE s_suppkey % 5 <> 0""")
+def packet_decode(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def packet(k: pd.Series) -> pd.Series:
+        make = lambda x: C.deflate(C.build_packet([(3, x % 100, 0), (64, x % 100 + 1, 7), (64, x % 100 + 86, 8)], epoch=2))
+        return k.map(lambda x: C.unmask(make(x), _KEY) if x % 5 else b"damaged")
+
+    s = V.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), packet("s_suppkey").alias("body"))
+    return raster.packets(s, _KEY).select("path", "number", "children", "cache_node_epoch", F.size("layers").alias("n_layers"))
+
+
+@query(V.with_sql(V.RELEASES) + "SELECT pos, CAST(1000 + pos AS INT) AS layer_id, release_id, release_date, 'World Imagery (Wayback ' || CAST(release_date AS VARCHAR) || ')' AS title FROM releases")
+def capabilities_parse(spark, sf_dir):
+    r = V.releases(spark, sf_dir)
+    title = F.concat(F.lit("World Imagery (Wayback "), F.col("release_date").cast("string"), F.lit(")"))
+    url = F.concat(F.lit("https://t/World_Imagery/tile/"), (1000 + F.col("pos")).cast("string"), F.lit("/{TileMatrix}"))
+    layer = F.concat(F.lit("<Layer><ows:Title>"), title, F.lit("</ows:Title><ows:Identifier>"), F.col("release_id"), F.lit('</ows:Identifier><ResourceURL template="'), url, F.lit('"/></Layer>'))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", layer.alias("x")))), lambda s: s["x"]), "")
+    body = F.concat(F.lit('<Capabilities xmlns:ows="http://o"><Contents>'), every, F.lit("</Contents></Capabilities>"))
+    return catalogue.releases(r.agg(body.alias("body"))).select("pos", "layer_id", "release_id", "release_date", "title")
+
+
+@query(V.with_sql(V.CAPTURES, V.RELEASES, V.TILEMAPS) + "SELECT pos, tile_col, tile_row, has, sel FROM tilemaps")
+def tilemap_parse(spark, sf_dir):
+    t = V.tilemaps(spark, sf_dir)
+    body = F.to_json(F.struct(F.array("has").alias("data"), F.when(F.col("sel").isNotNull(), F.array("sel")).alias("select")))
+    return catalogue.tilemaps(t.select("pos", "tile_col", "tile_row", body.alias("body"))).select("pos", "tile_col", "tile_row", "has", "sel")
+
+
+@query(V.with_sql(V.CAPTURES, _COVER) + "SELECT capture_date AS date, round(coverage, 5) AS coverage FROM shares WHERE capture_date >= DATE '2001-01-01'")
+def polygon_coverage(spark, sf_dir):
+    area = Y.to_wkb([Y.box(AOI.west, AOI.south, AOI.east, AOI.north)])
+    own = V.captures(spark, sf_dir).where("capture_date >= date '2001-01-01'").where(tiles.in_range(AOI, G.MERCATOR, 17, F.col("tile_col"), F.col("tile_row")))
+    own = own.select("capture_date", "tile_col", "tile_row").distinct()
+    b = G.bounds(G.MERCATOR, F.col("tile_col"), F.col("tile_row"), 17)
+    geo = own.select("capture_date", polygons.box_wkb(b["west"], b["south"], b["east"], b["north"]).alias("geom"))
+    return polygons.clipped_union(geo, area, ["capture_date"]).select(F.col("capture_date").alias("date"), _r("area_fraction", 5).alias("coverage"))
+
+
+@query("""WITH a AS (SELECT table_name || '.' || column_name AS field, data_type AS kind FROM (VALUES ('releases', 'pos', 'long'), ('releases', 'title', 'string'), ('tiles', 'zoom', 'int')) t(table_name, column_name, data_type)),
+b AS (SELECT table_name || '.' || column_name AS field, data_type AS kind FROM (VALUES ('releases', 'pos', 'int'), ('tiles', 'zoom', 'int'), ('tiles', 'col', 'long')) t(table_name, column_name, data_type))
+SELECT coalesce(a.field, b.field) AS field, a.kind AS old_kind, b.kind AS new_kind, CASE WHEN a.kind IS NULL THEN 'added' WHEN b.kind IS NULL THEN 'removed' ELSE 'changed' END AS change,
+  a.kind IS NULL AS compatible FROM a FULL JOIN b ON a.field = b.field WHERE a.kind IS DISTINCT FROM b.kind""")
+def schema_changes(spark, sf_dir):
+    make = lambda rows: spark.createDataFrame([(f"{t}.{c}", k) for t, c, k in rows], "field string, kind string")
+    old = make([("releases", "pos", "long"), ("releases", "title", "string"), ("tiles", "zoom", "int")])
+    return catalogue.schema_changes(old, make([("releases", "pos", "int"), ("tiles", "zoom", "int"), ("tiles", "col", "long")]))

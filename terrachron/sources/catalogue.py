@@ -73,3 +73,10 @@ def footprint_pages(payloads: DataFrame) -> DataFrame:
     out = out.where("object_id is not null and capture_date is not null")
     lost = bad.select("release_id", F.lit(None).cast("long").alias("object_id"), F.lit(None).cast("date").alias("capture_date"), F.lit(None).cast(out.schema["source"].dataType).alias("source"), F.lit(None).cast(out.schema["rings"].dataType).alias("rings"), F.lit(False).alias("complete"))
     return out.unionByName(lost)
+
+
+def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``field, old_kind, new_kind, change, compatible`` of two schemas as rows ``(field, kind)``; only additions are compatible."""
+    both = old.select("field", F.col("kind").alias("old_kind")).join(new.select("field", F.col("kind").alias("new_kind")), "field", "full_outer")
+    change = F.when(F.col("old_kind").isNull(), "added").when(F.col("new_kind").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("old_kind").eqNullSafe(F.col("new_kind"))).select("field", "old_kind", "new_kind", change.alias("change"), F.col("old_kind").isNull().alias("compatible"))

@@ -20,7 +20,7 @@ def spark():
         "spark.driver.memory": "6g",
         "spark.ui.showConsoleProgress": "false",
     }
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    s = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
