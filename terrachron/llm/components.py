@@ -9,7 +9,7 @@ from .common import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over undirected ``edges`` (u > v): neighbours move to the least of their group."""
+    """One step over undirected ``edges`` (u > v): neighbours move to the least of their group. Repeats may come."""
     pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     moved = pairs.join(least, "u")
@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,7 +30,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        e = stored(_star(_star(e, True), False))
+        e = stored(_star(_star(e, True), False).distinct())
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == mark:
             break

@@ -10,15 +10,17 @@ largest difference k, so at least n1-k of the partition projections of a linked
 pair are equal. One projection with its partition is a signature. Not all n1 are
 needed: both sets take the k+1 first under one order of the signatures
 themselves, which by the prefix principle still share one. The order puts
-projections with many rare shingles first, so that passages which many documents
-share, and empty partitions, hardly ever make a signature; it affects the cost only.
+projections with many rare shingles first, then large ones, so that passages which
+many documents share, and empty partitions, hardly ever make a signature; it affects
+the cost only.
 The rare/common hint comes from a bounded sample and never decides a link.
 
 Links are found in three steps, all exact:
 
 1. within a signature every set is compared with the signature's least set;
 2. sets of one signature that are still in different components afterwards are
-   compared with each other;
+   compared with each other, block by block: a parity sketch of every set bounds the
+   difference from below, and only pairs within the bound are compared in full;
 3. components are closed over the verified links.
 
 So large groups of near copies cost one comparison a member, and no link between
@@ -41,8 +43,11 @@ from .components import components
 
 #: Signatures that a task holds before it sends them on.
 WINDOW = 500_000
-#: The sample behind the rare/common hint: documents, and shingles kept.
-HINT_DOCS, HINT_SHINGLES = 4096, 65_536
+#: The sample behind the rare/common hint: documents, shingles kept, and documents that make one common.
+HINT_DOCS, HINT_SHINGLES, HINT_LEAST = 8192, 1 << 19, 3
+#: Sets of one signature that are held together when they are compared with each other;
+#: more are cut into blocks, and pairs of blocks go to tasks of their own.
+BLOCK = 1024
 
 _U = np.uint64
 _HIGH = _U(2**64 - 2**24)
@@ -100,14 +105,16 @@ class PartEnum:
                 if k == 0:  # only equal sets are that similar, and they are one node
                     continue
                 part = (((V.mix(s + _U(band * 0x632BE59BD9B4E019 & 2**64 - 1)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
-                info = np.bincount(part, rare, parts)
+                total = np.bincount(part, minlength=parts)
+                info = total if rare is None else np.bincount(part, rare, parts)
                 order = np.argsort(part, kind="stable")
                 sums = np.zeros(parts, _U)
                 heads = np.flatnonzero(np.diff(part[order], prepend=-1))
                 sums[part[order][heads]] = np.add.reduceat(value[order], heads)
                 sig = V.mix(sums ^ V.mix(np.arange(parts, dtype=_U) + _U(band << 32) + _U(1)))
                 if k + 1 < parts:
-                    rank = (_U(255) - np.minimum(info, 255).astype(_U) << _U(56)) | sig >> _U(8)
+                    few = _U(255) - np.minimum(info, 255).astype(_U) << _U(56) | _U(255) - np.minimum(total, 255).astype(_U) << _U(48)
+                    rank = few | sig >> _U(16)
                     sig = sig[np.argpartition(rank, k)[: k + 1]]
                 out.append(sig)
         return np.concatenate(out) if out else np.zeros(0, _U)
@@ -240,13 +247,82 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
         for _, s in _sets(batches, words):
             yield pa.record_batch([pa.array(s.view(np.int64))], ["h"])
 
-    kept = picked.select("doc_id", "text").mapInArrow(count, "h long").groupBy("h").count().where("count >= 4")
+    kept = picked.select("doc_id", "text").mapInArrow(count, "h long").groupBy("h").count().where(F.col("count") >= HINT_LEAST)
     top = kept.orderBy(F.desc("count"), "h").limit(HINT_SHINGLES).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(top.view(_U))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of a set's elements in two to four cells an element, as 64-bit words.
+
+    Two sketches differ in at most as many bits as the sets in elements.
+    """
+    words = 1 << max(0, (2 * len(s) - 1).bit_length() - 6)
+    cell = ((V.mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(8)) & _U(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8), bitorder="little").view(_U)
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as one of ``words`` words, a smaller power of two: the halves' parities add up."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def near_pairs(names: np.ndarray, classes: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one signature that may link: other classes, sizes and sketches near enough (and other blocks, if given)."""
+    words = min(map(len, sketches))
+    table = np.stack([fold(x, words) for x in sketches])
+    for i in range(len(names) - 1):
+        n = sizes[i + 1 :]
+        ok = (classes[i + 1 :] != classes[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
+        if blocks is not None:
+            ok &= blocks[i + 1 :] != blocks[i]
+        at = np.flatnonzero(ok) + i + 1
+        if len(at):
+            apart = np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64)
+            for j in at[apart * (100 + percent) <= (sizes[at] + sizes[i]) * (100 - percent)].tolist():
+                yield max(names[i], names[j]), min(names[i], names[j])
+
+
+def _compare(percent: int):
+    """Runs of rows with one signature and pair of blocks; gives the pairs that may link."""
+
+    def run(batches):
+        seen, held = set(), []
+
+        def done(rows):
+            _, lo, hi = rows[0][0]
+            one = {r[1]: r for r in rows}
+            if len(one) > 1:
+                r = list(one.values())
+                blocks = np.array([x[5] for x in r]) if lo != hi else None
+                yield from near_pairs(np.array([x[1] for x in r]), np.array([x[2] for x in r]), np.array([x[3] for x in r]), [np.frombuffer(x[4], _U) for x in r], blocks, percent)
+
+        def out(rows):
+            new = {p for p in done(rows)} - seen
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(new)
+            return [(int(a), int(b)) for a, b in new]
+
+        for b in batches:
+            found = []
+            cols = [b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "c", "n", "sketch", "block")]
+            for sig, i, j, *rest in zip(*cols):
+                if held and held[0][0] != (sig, i, j):
+                    found += out(held)
+                    held = []
+                held.append(((sig, i, j), *rest))
+            yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        found = out(held) if held else []
+        yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``(set_id, elements)`` for the ``wanted(set_id)``, made again from one document of each."""
+    """``(set_id, n, elements, sketch)`` for the ``wanted(set_id)``, made again from one document of each."""
     pick = stored(members.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
     ids = small(pick.select("doc_id", "set_id"))
     found = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id)).select(docs.doc_id, "text", "set_id")
@@ -254,16 +330,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int)
     def pack(batches):
         for b in batches:
             want = b.column(2).to_pylist()
-            rows = [(w, s.tobytes()) for w, (_, s) in zip(want, _sets(iter([b.select([0, 1])]), words)) if len(s) and set_id(s) == w]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_id", "elements"])
+            rows = [(w, len(s), s.tobytes(), sketch(s).tobytes()) for w, (_, s) in zip(want, _sets(iter([b.select([0, 1])]), words)) if len(s) and set_id(s) == w]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["set_id", "n", "elements", "sketch"])
 
-    return stored(found.mapInArrow(pack, "set_id long, elements binary").dropDuplicates(["set_id"]))
+    return stored(found.mapInArrow(pack, "set_id long, n long, elements binary, sketch binary").dropDuplicates(["set_id"]))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` of set ids that are linked."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    sets = _sets_of(docs, wanted, members, words)
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a")
     both = both.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b")
 
@@ -299,28 +374,30 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_scan(words, percent, targets, common), _MIX)
     found = stored(rows.repartition(n, "target").mapInArrow(_meet, "kind int, doc_id long, text_key long, set_id long, n long, sig long"))
     members = found.where("kind = 0").select("doc_id", "text_key", "set_id", "n")
-    shared = found.where("kind = 1").select("sig", "set_id").distinct()
-    shared = stored(shared)
+    shared = found.where("kind = 1").select("sig", "set_id")  # a set may come twice
 
     hubs = shared.groupBy("sig").agg(F.min("set_id").alias("b"))
     star = stored(shared.join(hubs, "sig").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
-    links = _verified(star, docs, members, words, percent)
+    wanted = star.select(F.col("a").alias("set_id")).union(star.select("b")).distinct()
+    links = _verified(star, _sets_of(docs, wanted, members, words), percent)
     classes = stored(components(links))
 
+    # signatures of three sets or more, not all in one class: other pairs than those with the least set
     named = shared.join(classes, shared.set_id == classes.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("c"))
-    named = stored(named)
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    size = members.where("set_id is not null").groupBy("set_id").agg(F.max("n").alias("n"))
-    rest = stored(named.join(mixed, "sig").join(size, "set_id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    near = F.expr(f"x.sig = y.sig and x.c <> y.c and x.set_id > y.set_id and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    more = x.join(y, near).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(more)
+    mixed = stored(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m >= 3").select("sig", "m"))
+    if not mixed.take(1):
+        return _result(members, classes, links)
+    rest = stored(named.join(small(mixed), "sig").distinct())
+    sets = _sets_of(docs, rest.select("set_id").distinct(), members, words)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = rest.join(sets.select("set_id", "n", "sketch"), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = own.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = stored(dealt.mapInArrow(_compare(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
     if more.take(1):
-        extra = _verified(more, docs, members, words, percent)
-        if extra.take(1):
-            links = links.unionByName(extra)
-            classes = stored(components(links))
+        extra = _verified(more, sets, percent)
+        links = links.unionByName(extra)
+        classes = stored(components(links))
     return _result(members, classes, links)
 
 
