@@ -286,29 +286,27 @@ def near_pairs(names: np.ndarray, classes: np.ndarray, sizes: np.ndarray, sketch
 
 
 def _compare(percent: int):
-    """Runs of rows with one signature and pair of blocks; gives the pairs that may link."""
+    """Runs of rows with one signature and pair of blocks; gives the pairs that may link.
 
-    def run(batches):
-        seen, held = set(), []
+    A pair that shares several signatures is given once, at the least of them.
+    """
 
-        def done(rows):
-            _, lo, hi = rows[0][0]
-            one = {r[1]: r for r in rows}
-            if len(one) > 1:
-                r = list(one.values())
-                blocks = np.array([x[5] for x in r]) if lo != hi else None
-                yield from near_pairs(np.array([x[1] for x in r]), np.array([x[2] for x in r]), np.array([x[3] for x in r]), [np.frombuffer(x[4], _U) for x in r], blocks, percent)
+    def run(batches):
+        held = []
 
         def out(rows):
-            new = {p for p in done(rows)} - seen
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(new)
-            return [(int(a), int(b)) for a, b in new]
+            sig, lo, hi = rows[0][0]
+            one = {r[1]: r for r in rows}
+            if len(one) < 2:
+                return []
+            r = list(one.values())
+            blocks = np.array([x[5] for x in r]) if lo != hi else None
+            near = near_pairs(np.array([x[1] for x in r]), np.array([x[2] for x in r]), np.array([x[3] for x in r]), [np.frombuffer(x[4], _U) for x in r], blocks, percent)
+            return [(int(a), int(b)) for a, b in near if min(set(one[a][6]) & set(one[b][6])) == sig]
 
         for b in batches:
             found = []
-            cols = [b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "c", "n", "sketch", "block")]
+            cols = [b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "c", "n", "sketch", "block", "sigs")]
             for sig, i, j, *rest in zip(*cols):
                 if held and held[0][0] != (sig, i, j):
                     found += out(held)
@@ -388,12 +386,13 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not mixed.take(1):
         return _result(members, classes, links)
     rest = stored(named.join(small(mixed), "sig").distinct())
-    sets = _sets_of(docs, rest.select("set_id").distinct(), members, words)
+    theirs = rest.groupBy("set_id").agg(F.collect_set("sig").alias("sigs"))
+    sets = _sets_of(docs, theirs.select("set_id"), members, words)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = rest.join(sets.select("set_id", "n", "sketch"), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+    own = rest.join(sets.select("set_id", "n", "sketch").join(theirs, "set_id"), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = own.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = stored(dealt.mapInArrow(_compare(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    dealt = own.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block", "sigs").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    more = stored(dealt.mapInArrow(_compare(percent), "a long, b long").join(star, ["a", "b"], "left_anti"))
     if more.take(1):
         extra = _verified(more, sets, percent)
         links = links.unionByName(extra)
