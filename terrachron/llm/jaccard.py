@@ -25,6 +25,11 @@ Links are found in three steps, all exact:
 
 So large groups of near copies cost one comparison a member, and no link between
 different components is ever skipped. Equal sets are one node from the start.
+
+Every link lies inside a component, so the number of a set's links comes from
+comparing all sets of a component with each other, again in blocks, each pair once.
+Only counts leave the tasks. This is quadratic in the sets of a component, as the
+links themselves can be.
 """
 
 from __future__ import annotations
@@ -48,6 +53,8 @@ HINT_DOCS, HINT_SHINGLES, HINT_LEAST = 8192, 1 << 19, 3
 #: Sets of one signature that are held together when they are compared with each other;
 #: more are cut into blocks, and pairs of blocks go to tasks of their own.
 BLOCK = 1024
+#: Bytes of elements that one block of a component holds, about, when links are counted.
+BLOCK_BYTES = 16 << 20
 
 _U = np.uint64
 _HIGH = _U(2**64 - 2**24)
@@ -348,7 +355,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def counts_of_links(names: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> np.ndarray:
+    """Links of each set to the others (with ``blocks`` only to those of another block)."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes, sets = sizes[order], [sets[i] for i in order.tolist()]
+    blocks = None if blocks is None else blocks[order]
+    ends = np.cumsum(sizes)
+    domain, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    inside, out = np.zeros(len(domain), np.int32), np.zeros(len(names), np.int64)
+    for i in range(len(sets) - 1):
+        # the larger sets that may link: n_i * 100 >= percent * n_j
+        last = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+        if last <= i + 1:
+            continue
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        inside[own] = 1
+        both = np.add.reduceat(inside[flat[ends[i] : ends[last - 1]]], ends[i : last - 1] - ends[i])
+        inside[own] = 0
+        ok = 100 * both.astype(np.int64) >= percent * (sizes[i] + sizes[i + 1 : last] - both)
+        if blocks is not None:
+            ok &= blocks[i + 1 : last] != blocks[i]
+        out[i] += ok.sum()
+        out[i + 1 : last] += ok
+    back = np.zeros(len(names), np.int64)
+    back[order] = out
+    return back
+
+
+def _count(percent: int):
+    """Runs of rows with one component and pair of blocks; gives each set's links found there."""
+
+    def run(batches):
+        key, names, sets, blocks = None, [], [], []
+
+        def out():
+            n = counts_of_links(np.array(names), sets, np.array(blocks) if key[1] != key[2] else None, percent) if len(names) > 1 else np.zeros(len(names), np.int64)
+            return pa.record_batch([pa.array(names, pa.int64()), pa.array(n, pa.int64())], ["set_id", "n_links"])
+
+        for b in batches:
+            c, i, j, name, block = (b.column(x).to_pylist() for x in ("c", "i", "j", "set_id", "block"))
+            elements = b.column("elements")
+            for at, now in enumerate(zip(c, i, j)):
+                if now != key:
+                    if names:
+                        yield out()
+                    key, names, sets, blocks = now, [], [], []
+                names.append(name[at])
+                sets.append(np.frombuffer(elements[at].as_py(), _U))
+                blocks.append(block[at])
+        if names:
+            yield out()
+
+    return run
+
+
+def _n_links(docs: DataFrame, members: DataFrame, classes: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+    """``set_id, n_links``: the true number of links of every set that has any."""
+    groups = stored(classes.groupBy("component").agg(F.count("*").alias("m")))
+    named = classes.join(groups, "component").select(F.col("node").alias("set_id"), F.col("component").alias("c"), "m")
+    pairs = named.where("m = 2").select("set_id", F.lit(1).cast("long").alias("n_links"))
+    named = stored(named.where("m > 2"))
+    if not named.take(1):
+        return pairs
+    sets = _sets_of(docs, named.select("set_id"), members, words).select("set_id", "n", "elements")
+    rows = named.join(sets, "set_id")
+    held = named.join(sets.select("set_id", "n"), "set_id").groupBy("c").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    rows = rows.join(small(stored(held)), "c")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = rows.select("c", F.inline(places), "set_id", "block", "elements").repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    counted = dealt.mapInArrow(_count(percent), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    return pairs.unionByName(stored(counted))
+
+
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, counted: bool = True) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_id, class_id, component_id, n_links`` for every row of ``docs(doc_id, text)``.
 
     ``n_shingles`` is the size of the document's set of ``words``-word shingles over
@@ -356,7 +438,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     has its whole sequence as one. Documents link when 100*|A&B| >= percent*|A|B|.
     ``component_id`` is the smallest doc_id reachable by links, ``set_id`` the name
     of the set, equal for equal sets and null for empty ones, ``class_id`` that of the
-    component, ``text_key`` xxhash64 of the text and ``n_links`` the set's links to other sets.
+    component, ``text_key`` xxhash64 of the text and ``n_links`` the set's links to all
+    other sets; with ``counted`` false that column is left out.
 
     Null or empty text, or text of spaces only: an empty set, linked with nothing,
     so the component is the row's own doc_id. Repeated rows and ties are equal sets
@@ -384,7 +467,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = shared.join(classes, shared.set_id == classes.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("c"))
     mixed = stored(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m >= 3").select("sig", "m"))
     if not mixed.take(1):
-        return _result(members, classes, links)
+        return _result(members, classes, _n_links(docs, members, classes, words, percent, n) if counted else None)
     rest = stored(named.join(small(mixed), "sig").distinct())
     theirs = rest.groupBy("set_id").agg(F.collect_set("sig").alias("sigs"))
     sets = _sets_of(docs, theirs.select("set_id"), members, words)
@@ -397,18 +480,19 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         extra = _verified(more, sets, percent)
         links = links.unionByName(extra)
         classes = stored(components(links))
-    return _result(members, classes, links)
+    return _result(members, classes, _n_links(docs, members, classes, words, percent, n) if counted else None)
 
 
-def _result(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    ends = links.select(F.col("a").alias("set_id")).unionAll(links.select("b")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-    sets = classes.select(F.col("node").alias("set_id"), "component").join(ends, "set_id", "left")
+def _result(members: DataFrame, classes: DataFrame, ends: DataFrame | None) -> DataFrame:
+    sets = classes.select(F.col("node").alias("set_id"), "component")
+    sets = sets.join(ends, "set_id", "left") if ends is not None else sets.withColumn("n_links", F.lit(None).cast("long"))
     filled = members.where("set_id is not null").join(sets, "set_id", "left").select("doc_id", "text_key", "set_id", "n", F.coalesce("component", "set_id").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     filled = stored(filled)
     least = filled.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     filled = filled.join(least, "c").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", F.col("c").alias("class_id"), "component_id", "n_links")
     blank = members.where("set_id is null").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "set_id", F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return filled.unionByName(blank)
+    out = filled.unionByName(blank)
+    return out if ends is not None else out.drop("n_links")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -417,7 +501,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     Only the rows that go, and rows that repeat one id and text, are joined with the
     texts; both are broadcast if they are few and shuffled otherwise.
     """
-    rows = stored(jaccard_classes(docs, words, percent).where("class_id is not null").groupBy("class_id", "doc_id", "text_key").agg(F.count("*").alias("rows")))
+    rows = stored(jaccard_classes(docs, words, percent, counted=False).where("class_id is not null").groupBy("class_id", "doc_id", "text_key").agg(F.count("*").alias("rows")))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     best = rows.groupBy("class_id").agg(F.min(first).alias("best"))
     rows = stored(rows.join(best, "class_id").withColumn("stays", first == F.col("best")).select("doc_id", "text_key", "rows", "stays"))

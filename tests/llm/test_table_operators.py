@@ -109,6 +109,24 @@ def test_jaccard_in_blocks_and_windows(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("block", [None, 2])
+def test_links_are_counted_inside_a_group(spark, monkeypatch, block):
+    """Every set's links to other sets, not only those to the least set of a signature."""
+    if block:
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+        monkeypatch.setattr(jaccard, "small", lambda df: df)
+    base = [f"w{i}" for i in range(120)]
+    group = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(10, 110, 10)]
+    rows = list(enumerate([*near_copies(4), *group, group[0]]))
+    sets = {i: shingles(t) for i, t in rows}
+    links = lambda s: sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in set(sets.values()) if o)
+    want = {i: links(s) if s else 0 for i, s in sets.items()}
+    assert min(want[i] for i in range(len(rows) - 11, len(rows))) == 9
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == want
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], DOC)).count() == 0
     assert [r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame([(3, None)], DOC)).collect()] == [3]
