@@ -90,19 +90,24 @@ class Model:
         return lambda text: sigmoid(d * (x := sizes(text))[0] + p * x[1] + c)
 
 
-def sample_of(labels: DataFrame, docs: DataFrame, label: str, folds: int, held_out: int, rows: int, salt: int) -> dict[str, list[tuple[int, str]]]:
-    """Bounded samples of labelled rows outside the held-out fold: ``dict`` by class, ``fit`` as they come.
-
-    Rows are taken in the order of a hash of the id, from two halves of the ids, so
-    that no row serves both. Null labels and ids are passed over.
-    """
+def sample_rows(labels: DataFrame, docs: DataFrame, label: str, folds: int, held_out: int, rows: int, salt: int) -> DataFrame:
+    """``doc_id, text, y, h, fit``: the rows of ``sample_of``, in Spark."""
     h = F.xxhash64("doc_id", F.lit(salt))
     one = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     one = one.select("doc_id", F.col(label).alias("y"), h.alias("h"), (F.pmod(h, F.lit(2)) == 0).alias("fit"))
     top = lambda df, n: df.orderBy("h", "doc_id", "y").limit(n)
     ids = top(one.where("fit"), rows * 2).unionByName(top(one.where("not fit and y = 1"), rows)).unionByName(top(one.where("not fit and y = 0"), rows))
     picked = F.broadcast(stored(ids))  # at most 4 * rows ids
-    got = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(picked, "doc_id").toPandas()
+    return docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(picked, "doc_id")
+
+
+def sample_of(labels: DataFrame, docs: DataFrame, label: str, folds: int, held_out: int, rows: int, salt: int) -> dict[str, list[tuple[int, str]]]:
+    """Bounded samples of labelled rows outside the held-out fold: ``dict`` by class, ``fit`` as they come.
+
+    Rows are taken in the order of a hash of the id, from two halves of the ids, so
+    that no row serves both. Null labels and ids are passed over.
+    """
+    got = sample_rows(labels, docs, label, folds, held_out, rows, salt).toPandas()
     got = got.sort_values(["h", "doc_id", "y", "text"], ignore_index=True)
     part = lambda x: list(zip(x.y.astype(int), x.text))
     return {"fit": part(got[got.fit]), "dict": part(got[~got.fit])}

@@ -12,8 +12,11 @@ with the expectation, so rare expressions, and common ones that are no commoner
 a class than in the corpus, fall back on the shared counts and say nothing.
 A document's score is the calibrated mean of log p_toxic - log p_ordinary a word.
 
-The shared counts cover all documents and are kept in ``2**BITS`` hashed cells; the
-class counts come from bounded samples of labelled rows outside the held-out fold.
+The shared counts cover all documents and are exact, by the full 64-bit hash of a word
+or pair, in Spark tables; only those of words and pairs that a class has more often
+than the least discount are fetched, as the others have no excess whatever their
+count. The class counts come from bounded samples of labelled rows outside the
+held-out fold; texts and token lists stay in the tasks.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import fold
-from .quality import logistic, sample_of, sigmoid
+from .common import fold, stored
+from .quality import logistic, sample_rows, sigmoid
 
 BITS = 18
 CELLS = 1 << BITS
@@ -59,55 +62,92 @@ def words(column: pa.Array):
             yield h[a:b]
 
 
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Documents that have a word (by cell), a pair of words (by cell), and documents, over all of ``docs``.
-
-    Tasks send the cells they touched, the sums are Spark's, and the driver gets at
-    most 2 * CELLS numbers.
-    """
-
-    def count(batches):
-        one, two, n = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), 0
-        for b in batches:
-            for h in words(b.column(0)):
-                one[np.unique(_cell(h))] += 1
-                two[np.unique(_cell(_pairs(h)))] += 1
-                n += 1
-        for kind, x in ((0, one), (1, two), (2, np.array([n]))):
-            at = np.flatnonzero(x)
-            yield pa.record_batch([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], ["kind", "cell", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toPandas()
-    out = [np.zeros(CELLS), np.zeros(CELLS), np.zeros(CELLS)]
-    for kind in range(3):
-        x = sums[sums.kind == kind]
-        out[kind][x.cell.to_numpy()] = x.n.to_numpy()
-    return out[0], out[1], int(out[2][0])
+#: Distinct hashes that a task holds before it sends their counts on.
+HELD = 1 << 20
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
+
+
+def _document_counts(batches, wanted: np.ndarray):
+    """``kind, key, n`` a task: documents with a word (0), with one of the pairs ``wanted`` (1), documents (2)."""
+    parts, held, n = {0: [], 1: []}, 0, 0
+
+    def flush():
+        for kind, x in parts.items():
+            if x:
+                key, sums = _summed(x)
+                for at in range(0, len(key), 50_000):
+                    k = key[at : at + 50_000]
+                    yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(sums[at : at + 50_000])], ["kind", "key", "n"])
+                x.clear()
+
+    for b in batches:
+        for h in words(b.column(0)):
+            n += 1
+            found = [np.unique(h)]
+            if len(wanted):
+                pairs = np.unique(_pairs(h))
+                at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
+                found.append(pairs[wanted[at] == pairs])
+            for kind, key in enumerate(found):
+                parts[kind].append((key, np.ones(len(key), np.int64)))
+                held += len(key)
+            if held >= HELD:
+                yield from flush()
+                held = 0
+    yield from flush()
+    yield pa.record_batch([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["kind", "key", "n"])
+
+
+def shared_counts(docs: DataFrame, own: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """Over all ``docs``: documents that have each of the words ``own`` and of the ``pairs``
+    (hashes, sorted), the sum and the number of all words' counts, and documents."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(pairs)
+    table = stored(docs.select("text").mapInArrow(lambda b: _document_counts(b, wanted.value), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    asked = spark.createDataFrame(pa.table({"key": pa.array(own.view(np.int64))})) if len(own) else None
+    out = []
+    for kind, keys in ((0, own), (1, pairs)):
+        got = table.where(F.col("kind") == kind)
+        if kind == 0:
+            got = got.join(asked, "key", "left_semi") if len(own) else got.where("false")
+        x = got.select("key", "n").toPandas()
+        n = np.zeros(len(keys), np.int64)
+        n[np.searchsorted(keys, x.key.to_numpy(np.int64).view(np.uint64))] = x.n.to_numpy(np.int64)
+        out.append(n)
+    total, distinct = table.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n = table.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return out[0], out[1], total, distinct, n
 
 
 @dataclass(frozen=True)
 class Model:
-    """Tables by cell: a word's log ratio, a context's log ratio of backed-off mass, a seen pair's correction."""
+    """Sorted hashes with their log ratios: words (others have ``other``), contexts' backed-off mass, corrections of seen pairs."""
 
-    word: np.ndarray
-    context: np.ndarray
-    pair: dict[int, float]
+    word: tuple[np.ndarray, np.ndarray]
+    context: tuple[np.ndarray, np.ndarray]
+    pair: tuple[np.ndarray, np.ndarray]
+    other: float
     weights: tuple[float, float]
 
     def reader(self):
         """A function from a text's word hashes to its mean log ratio."""
-        known = np.zeros(CELLS, bool)
-        known[_cell(np.fromiter(self.pair, np.uint64, len(self.pair)))] = True
+
+        def look(table, h, missing=0.0) -> float:
+            keys, values = table
+            if not len(keys):
+                return missing * len(h)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            return float(np.where(keys[at] == h, values[at], missing).sum())
 
         def mean(h: np.ndarray) -> float:
             if not len(h):
                 return 0.0
-            cells = _cell(h)
-            total = float(self.word[cells].sum(dtype=float)) + float(self.context[cells[:-1]].sum(dtype=float))
-            if self.pair:
-                pairs = _pairs(h)
-                total += sum(self.pair.get(x, 0.0) for x in pairs[known[_cell(pairs)]].tolist())
-            return total / len(h)
+            before = np.concatenate([[_START], h[:-1]])
+            return (look(self.word, h, self.other) + look(self.context, before) + look(self.pair, _pairs(h))) / len(h)
 
         return mean
 
@@ -115,8 +155,19 @@ class Model:
         return sigmoid(self.weights[0] * mean + self.weights[1])
 
 
+def _masses(seen: np.ndarray, total: float, shared: np.ndarray) -> tuple[np.ndarray, float]:
+    """Excess of the words and what is left for the shared counts, for a class with ``total`` counts."""
+    excess = np.maximum(seen - D - K * total * shared, 0)
+    return excess / max(total, 1.0), 1 - excess.sum() / max(total, 1.0)
+
+
+def _overs(count: np.ndarray, n_docs: int, two: np.ndarray, n: int) -> np.ndarray:
+    """Excess of pairs over the discount and what the shared counts expect."""
+    return np.maximum(count - D2 - K2 * n_docs * two / max(n, 1), 0)
+
+
 def _class(docs: list[np.ndarray], one: np.ndarray, two: np.ndarray, n: int):
-    """A class's word probabilities, contexts' backed-off mass, context counts and pairs with an excess."""
+    """A class's word probabilities, contexts' backed-off mass, context counts and pairs with an excess, for counts by cell."""
     seen, pairs, before, last = np.zeros(CELLS), [], [], []
     for h in docs:
         seen[np.unique(_cell(h))] += 1
@@ -125,42 +176,101 @@ def _class(docs: list[np.ndarray], one: np.ndarray, two: np.ndarray, n: int):
         pairs.append(key)
         before.append(cells[at])
         last.append(cells[at + 1])
-    total, shared = max(seen.sum(), 1.0), (one + 0.5) / (one.sum() + 0.5 * CELLS)
-    excess = np.maximum(seen - D - K * seen.sum() * shared, 0)
-    word = excess / total + (1 - excess.sum() / total) * shared
+    shared = (one + 0.5) / (one.sum() + 0.5 * CELLS)
+    excess, left = _masses(seen, seen.sum(), shared)
+    word = excess + left * shared
     key, at, count = np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)]), return_index=True, return_counts=True)
     u, w = np.concatenate([*before, np.zeros(0, np.int64)])[at], np.concatenate([*last, np.zeros(0, np.int64)])[at]
     follow = np.bincount(u, count, CELLS)
-    over = np.maximum(count - D2 - K2 * len(docs) * two[_cell(key)] / max(n, 1), 0)
+    over = _overs(count, len(docs), two[_cell(key)], n)
     rest = np.maximum(1 - np.bincount(u, over, CELLS) / np.maximum(follow, 1), 0.05)
     some = over > 0
     return word, rest, follow, {int(k): (int(a), int(b), float(x)) for k, a, b, x in zip(key[some], u[some], w[some], over[some])}
 
 
+def _sample_counts(rows: DataFrame) -> DataFrame:
+    """``kind, key, before, last, y, n``: the sample's documents by class that have a word (0),
+    a pair (1), pairs after a context (2), and documents (3), counted in the tasks."""
+    schema = "kind int, key long, before long, last long, y int, n long"
+    names = ["kind", "key", "before", "last", "y", "n"]
+
+    def run(batches):
+        for b in batches:
+            for y, h in zip(b.column(0).to_pylist(), words(b.column(1))):
+                one, (two, at) = np.unique(h), np.unique(_pairs(h), return_index=True)
+                u, w = np.concatenate([[_START], h[:-1]])[at] if len(h) else two, h[at]
+                follow, many = np.unique(u, return_counts=True)
+                for kind, key, p, q, n in ((0, one, one, one, None), (1, two, u, w, None), (2, follow, follow, follow, many), (3, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), None)):
+                    m = len(key)
+                    yield pa.record_batch([pa.array(np.full(m, kind, np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, p, q)), pa.array(np.full(m, y, np.int32)), pa.array((np.ones(m) if n is None else n).astype(np.int64))], names)
+
+    counted = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, schema)
+    return stored(counted.groupBy("kind", "key", "before", "last", "y").agg(F.sum("n").alias("n")))
+
+
+def _by_class(table: DataFrame, kind: int, least: float, keep: DataFrame | None = None):
+    """Keys that a class has more than ``least`` times, sorted, with both classes' counts."""
+    y = lambda k: F.coalesce(F.sum(F.when(F.col("y") == k, F.col("n"))), F.lit(0)).alias(f"n{k}")
+    got = table.where(F.col("kind") == kind)
+    got = got.join(keep, "key", "left_semi") if keep is not None else got
+    x = got.groupBy("key", "before", "last").agg(y(0), y(1)).where(F.greatest("n0", "n1") > least).toPandas()
+    key, before, last = (x[c].to_numpy(np.int64).view(np.uint64) for c in ("key", "before", "last"))
+    order = np.argsort(key)
+    return key[order], before[order], last[order], {k: x[f"n{k}"].to_numpy(float)[order] for k in (0, 1)}
+
+
+def _at(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(asked), missing)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], missing)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """The models and their calibration; without both classes every score is the share of toxic labels."""
-    got = sample_of(labels, docs, "toxic", folds, held_out, SAMPLE_ROWS, 3)
-    one, two, n = shared_counts(docs)
-    hashed = {k: ([y for y, _ in v], list(words(pa.array([t for _, t in v], pa.large_string())))) for k, v in got.items()}
-    del got  # the texts; the driver keeps the hashes
-    y, h = hashed["dict"]
-    ty, th = hashed["fit"]
-    share = (sum(ty) + 1) / (len(ty) + 2)
-    none = np.zeros(CELLS, np.float32)
-    if len(set(y)) < 2 or len(set(ty)) < 2:
-        return Model(none, none, {}, (0.0, math.log(share / (1 - share))))
-    toxic, plain = (_class([x for c, x in zip(y, h) if c == k], one, two, n) for k in (1, 0))
-    word = np.log(toxic[0]) - np.log(plain[0])
-    context = np.log(toxic[1]) - np.log(plain[1])
-    pair = {}
-    for key in toxic[3].keys() | plain[3].keys():
-        u, w, _ = toxic[3].get(key) or plain[3][key]
-        p = [m[3].get(key, (0, 0, 0.0))[2] / max(m[2][u], 1) + m[1][u] * m[0][w] for m in (toxic, plain)]
-        pair[key] = math.log(p[0]) - math.log(p[1]) - context[u] - word[w]
-    model = Model(word.astype(np.float32), context.astype(np.float32), pair, (0.0, 0.0))
-    mean = model.reader()
-    w = logistic(np.array([[mean(x)] for x in th]), np.array(ty, float), 1e-3)
-    return Model(model.word, model.context, pair, tuple(w.tolist()))
+    got = stored(sample_rows(labels, docs, "toxic", folds, held_out, SAMPLE_ROWS, 3).select("fit", "y", "text"))
+    size = {(r.fit, r.y): r.n for r in got.groupBy("fit", F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    of = lambda fit, y: size.get((fit, y), 0)
+    share = (of(True, 1) + 1) / (of(True, 0) + of(True, 1) + 2)
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    if not all(of(f, y) for f in (True, False) for y in (0, 1)):
+        return Model(none, none, none, 0.0, (0.0, math.log(share / (1 - share))))
+    table = _sample_counts(got.where("not fit"))
+    total = {r.y: float(r.n) for r in table.where("kind = 0").groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    keys, _, _, seen = _by_class(table, 0, D)
+    pairs, u, w, count = _by_class(table, 1, D2)
+    one, two, mass, distinct, n = shared_counts(docs, keys, pairs)
+    shared = lambda x: (x + 0.5) / (mass + 0.5 * (distinct + 1))
+    masses = {y: _masses(seen[y], total.get(y, 0.0), shared(one)) for y in (0, 1)}
+    word = {y: a + left * shared(one) for y, (a, left) in masses.items()}
+    other = math.log(masses[1][1]) - math.log(masses[0][1])
+    ratio = np.log(word[1]) - np.log(word[0])
+    over = {y: _overs(count[y], of(False, y), two, n) for y in (0, 1)}
+    some = (over[0] > 0) | (over[1] > 0)
+    pairs, u, w, over = pairs[some], u[some], w[some], {y: x[some] for y, x in over.items()}
+    spark, before = docs.sparkSession, np.unique(u)
+    context, pair = np.zeros(len(before)), np.zeros(0)
+    if len(pairs):
+        asked = F.broadcast(spark.createDataFrame(pa.table({"key": pa.array(before.view(np.int64))})))
+        follow_keys, _, _, follows = _by_class(table, 2, 0, asked)
+        place, p = np.searchsorted(before, u), {}
+        backs = {y: _at(follow_keys, follows[y], before, 0.0) for y in (0, 1)}
+        rest = {y: np.maximum(1 - np.bincount(place, over[y], len(before)) / np.maximum(backs[y], 1), 0.05) for y in (0, 1)}
+        context = np.log(rest[1]) - np.log(rest[0])
+        for y in (0, 1):  # a pair's last word is in as many documents, so the words' table has it
+            p[y] = over[y] / np.maximum(backs[y][place], 1) + rest[y][place] * _at(keys, word[y], w, 0.0)
+        pair = np.log(p[1]) - np.log(p[0]) - context[place] - _at(keys, ratio, w, other)
+    model = Model((keys, ratio), (before, context), (pairs, pair), other, (0.0, 0.0))
+    given = spark.sparkContext.broadcast(model)
+
+    def means(batches):
+        mean = given.value.reader()
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([mean(h) for h in words(b.column(1))], pa.float64())], ["y", "mean"])
+
+    x = got.where("fit").select(F.col("y").cast("int").alias("y"), "text").mapInArrow(means, "y int, mean double").orderBy("mean", "y").toPandas()
+    weights = logistic(x[["mean"]].to_numpy(float), x.y.to_numpy(float), 1e-3)
+    return Model(model.word, model.context, model.pair, other, tuple(weights.tolist()))
 
 
 def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HELD_OUT, accept: float = 0.5) -> DataFrame:
@@ -169,7 +279,7 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HE
     Null texts, and texts without words, have a log ratio of 0. Equal texts have
     equal scores; repeated rows stay; other columns are ignored; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of CELLS floats and the bounded sample's pairs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words, contexts and pairs of the bounded sample
 
     def run(batches):
         mean = shared.value.reader()

@@ -284,3 +284,19 @@ def test_kneser_ney_mass_is_whole():
         two[np.unique(toxicity._cell(toxicity._pairs(h)))] += 1
     word, rest, _, _ = toxicity._class(docs_, one, two, len(docs_))
     assert word.sum() == pytest.approx(1) and (word > 0).all() and (rest <= 1).all()
+
+
+def test_shared_counts_are_exact(spark):
+    """Words and pairs that share any number of leading hash bits are counted apart."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(400)) for _ in range(400)] + ["", None]
+    hashed = [h for h in toxicity.words(pa.array(texts))]
+    one, two = ({}, {})
+    for h in hashed:
+        for table, x in ((one, h), (two, toxicity._pairs(h) if len(h) else h)):
+            for k in set(x.tolist()):
+                table[k] = table.get(k, 0) + 1
+    own, pairs = (np.array(sorted(t), np.uint64) for t in (one, two))
+    got = toxicity.shared_counts(docs(spark, texts), own, pairs)
+    assert got[0].tolist() == [one[k] for k in own.tolist()] and got[1].tolist() == [two[k] for k in pairs.tolist()]
+    assert got[2:] == (sum(one.values()), len(one), len(texts))
