@@ -37,7 +37,7 @@ BITS = 18
 CELLS = 1 << BITS
 D, K, D2, K2 = 3.0, 2.0, 4.0, 4.0
 #: Labelled rows per class for the counts, and twice as many, as they come, for the calibration.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 4000
 FOLDS, HELD_OUT = 5, 0
 _START = np.uint64(0x1234567)
 
@@ -194,15 +194,27 @@ def _sample_counts(rows: DataFrame) -> DataFrame:
     schema = "kind int, key long, before long, last long, y int, n long"
     names = ["kind", "key", "before", "last", "y", "n"]
 
+    def out(held):
+        columns = [np.concatenate([x[i] for x in held]) for i in range(6)]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        return pa.record_batch([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64()).cast(t) for x, t in zip(columns, types)], names)
+
     def run(batches):
+        held, rows = [], 0
         for b in batches:
             for y, h in zip(b.column(0).to_pylist(), words(b.column(1))):
-                one, (two, at) = np.unique(h), np.unique(_pairs(h), return_index=True)
-                u, w = np.concatenate([[_START], h[:-1]])[at] if len(h) else two, h[at]
+                one, (two, at) = np.unique(h), np.unique(_pairs(h)[: len(h)], return_index=True)
+                u, w = np.concatenate([[_START], h[:-1]])[at], h[at]
                 follow, many = np.unique(u, return_counts=True)
-                for kind, key, p, q, n in ((0, one, one, one, None), (1, two, u, w, None), (2, follow, follow, follow, many), (3, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.uint64), None)):
-                    m = len(key)
-                    yield pa.record_batch([pa.array(np.full(m, kind, np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, p, q)), pa.array(np.full(m, y, np.int32)), pa.array((np.ones(m) if n is None else n).astype(np.int64))], names)
+                none = np.zeros(1, np.uint64)
+                for kind, key, p, q, n in ((0, one, one, one, None), (1, two, u, w, None), (2, follow, follow, follow, many), (3, none, none, none, None)):
+                    held.append((np.full(len(key), kind), key, p, q, np.full(len(key), y), np.ones(len(key), np.int64) if n is None else n))
+                    rows += len(key)
+                if rows >= 100_000:
+                    yield out(held)
+                    held, rows = [], 0
+        if held:
+            yield out(held)
 
     counted = rows.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, schema)
     return stored(counted.groupBy("kind", "key", "before", "last", "y").agg(F.sum("n").alias("n")))

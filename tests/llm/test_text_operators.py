@@ -300,3 +300,14 @@ def test_shared_counts_are_exact(spark):
     got = toxicity.shared_counts(docs(spark, texts), own, pairs)
     assert got[0].tolist() == [one[k] for k in own.tolist()] and got[1].tolist() == [two[k] for k in pairs.tolist()]
     assert got[2:] == (sum(one.values()), len(one), len(texts))
+
+
+def test_rarer_toxic_expressions_count(spark):
+    """A pair of words in one of 300 toxic documents is seen by the sample."""
+    text = F.when((F.col("doc_id") < 12_000) & (F.col("doc_id") % 300 == 0), F.lit("very beastly remark")).otherwise(F.concat(F.lit("some very plain remark w"), F.col("doc_id") % 50))
+    d = spark.range(120_000).select(F.col("id").alias("doc_id")).withColumn("text", text)
+    lab = d.where("doc_id < 24000").select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") < 12_000).cast("int").alias("toxic"))
+    model = toxicity.fit(d, lab)
+    pair = toxicity._pairs(next(toxicity.words(pa.array(["very beastly remark"]))))[1]
+    at = np.flatnonzero(model.pair[0] == pair)
+    assert len(at) == 1 and np.isfinite(model.pair[1][at[0]])
