@@ -6,13 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side with at most this many rows, in files of at most so many bytes, may be broadcast;
+#: beyond either Spark joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,32 +38,64 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: While a scratch table is written: short Arrow batches, as whole texts are long and several
+#: Python workers share what an executor's heap leaves; shuffle files go once the table is there.
+WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """The session with ``conf``, and afterwards as it was."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    This cuts the lineage: a lost executor costs a read, not a recomputation.
+    This cuts the lineage: a lost executor costs a read, not a recomputation. The
+    tables of one application lie in one folder, named by its id.
     """
-    path = f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    with settings(spark, WRITING):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count finds it within ``most`` rows, else as it is.
+_paths: dict[int, str] = {}
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``stored`` tables that nothing reads any more."""
+    for t in tables:
+        if path := _paths.get(id(t)):
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
-    ``df`` should be ``stored`` first, so that the count reads Parquet footers only.
-    Without the hint Spark takes a shuffle join, whose skewed partitions AQE splits.
-    """
-    return F.broadcast(df) if df.count() <= most else df
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and ``most_bytes`` bytes, else as it is.
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows from now on in this session: whole texts are long,
-    and two Python workers share what an executor's heap leaves."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    ``df`` should be ``stored`` first: then the count reads Parquet footers only, and
+    the bytes are those that the optimizer takes from the files, for the columns read.
+    Without the hint Spark takes a shuffle join, whose skewed partitions AQE splits.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes and df.count() <= most else df
 
 
 def crc_mod(doc_id: int | None, m: int) -> int:

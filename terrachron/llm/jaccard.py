@@ -5,22 +5,25 @@ Jaccard >= t satisfy b <= a/t and differ in at most (a+b)(1-t)/(1+t) elements.
 Sizes are cut into bands whose ends grow by 1/t; a pair is looked for under the
 band of its larger set, so a set takes part in its own band and the next.
 
-Within a band the shingle domain is hashed into ``n1`` partitions, more than the
-largest difference k, so at least n1-k of the partition projections of a linked
-pair are equal. One projection with its partition is a signature. Not all n1 are
-needed: both sets take the k+1 first under one order of the signatures
-themselves, which by the prefix principle still share one. The order puts
-projections with many rare shingles first, then large ones, so that passages which
-many documents share, and empty partitions, hardly ever make a signature; it affects
-the cost only.
-The rare/common hint comes from a bounded sample and never decides a link.
+Within a band, whose pairs differ in at most K elements, the shingle domain is
+hashed into G = K+1 groups of three partitions each. A linked pair that differs in k
+elements agrees in all but k partitions. Both sets rank their partitions' projections
+by one order of the projections themselves and keep the first k+G+1: of these at
+least G+1 are equal in both (the prefix principle), so some group holds two of them.
+Every subset of two kept partitions of one group is enumerated, and its projections
+are one signature, so linked sets share one. The order puts projections with many
+rare shingles first, then large ones, so that passages which many documents share, and
+empty partitions, hardly ever make a signature; it affects the cost only. The hint
+which shingles are rare comes from a bounded sample and never decides a link.
 
 Links are found in three steps, all exact:
 
-1. within a signature every set is compared with the signature's least set;
-2. sets of one signature that are still in different components afterwards are
-   compared with each other, block by block: a parity sketch of every set bounds the
-   difference from below, and only pairs within the bound are compared in full;
+1. within a signature every set is compared with the signature's least set; a parity
+   sketch of every set bounds the difference from below, and only pairs within the
+   bound are compared in full;
+2. signatures whose sets are in different components afterwards are reduced to one
+   for each list of sets, and those sets are compared with each other, block by
+   block, again by sketch first;
 3. components are closed over the verified links.
 
 So large groups of near copies cost one comparison a member, and no link between
@@ -43,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import short_batches, small, stored
+from .common import dropped, small, stored
 from .components import components
 
-#: Signatures that a task holds before it sends them on.
-WINDOW = 500_000
+#: Signatures that a task holds before it sends them on, and bytes of them for one target.
+WINDOW, TARGET_BYTES = 500_000, 32 << 20
 #: The sample behind the rare/common hint: documents, shingles kept, and documents that make one common.
 HINT_DOCS, HINT_SHINGLES, HINT_LEAST = 8192, 1 << 19, 3
+#: Elements for which signatures are made at once.
+ELEMENTS = 1 << 17
 #: Sets of one signature that are held together when they are compared with each other;
 #: more are cut into blocks, and pairs of blocks go to tasks of their own.
 BLOCK = 1024
@@ -76,55 +81,70 @@ class PartEnum:
             raise ValueError("percent must be in 1..100")
         self.p = percent
         self.common = common if common is not None and len(common) else None
-        self.ends = [1]
-
-    def band(self, n: int) -> int:
-        """The band of size ``n``; band i holds the sizes ``ends[i-1] < n <= ends[i]``."""
-        while self.ends[-1] < n:
-            self.ends.append((self.ends[-1] + 1) * 100 // self.p)
-        return int(np.searchsorted(self.ends, n))
-
-    def tags(self, n: int) -> list[tuple[int, int, int]]:
-        """``(band, partitions, k)`` under which a set of size ``n`` takes part."""
-        own, most, out = self.band(n), n * 100 // self.p, []
-        while len(self.ends) < own + 2:
-            self.band(self.ends[-1] + 1)
-        for i in (own, own + 1):
-            if i == own or most > self.ends[i - 1]:
-                end = self.ends[i]
-                k = (n + min(end, most)) * (100 - self.p) // (100 + self.p)
-                largest = 2 * end * (100 - self.p) // (100 + self.p)
-                out.append((i, max(largest + 1, -(-end * 2 * (100 - self.p) // (100 + self.p)) * 2 + 3), k))
-        return out
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """The signatures of the sorted distinct set ``s``, as unsigned 64-bit numbers."""
-        if not len(s):
-            return np.zeros(0, _U)
-        rare = None
-        if self.common is not None:
-            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            rare = (self.common[at] != s).astype(np.float64)
-        out = []
+        self.ends = np.ones(1, np.int64)
+
+    def bands(self, most: int) -> np.ndarray:
+        """The ends of the bands up to two beyond size ``most``; band i holds ``ends[i-1] < n <= ends[i]``."""
+        ends = self.ends.tolist()
+        while len(ends) < 3 or ends[-3] < most:
+            ends.append((ends[-1] + 1) * 100 // self.p)
+        self.ends = np.array(ends, np.int64)
+        return self.ends
+
+    def plan(self, n: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+        """For sets of sizes ``n`` in their own band (``step`` 0) or the next: whether they take
+        part, the band, its groups, and how many partitions they keep."""
+        ends = self.bands(int(n.max(initial=1)))
+        band, most = np.searchsorted(ends, n) + step, n * 100 // self.p
+        end = ends[band]
+        k = (n + np.minimum(end, most)) * (100 - self.p) // (100 + self.p)
+        groups = 2 * end * (100 - self.p) // (100 + self.p) + 1
+        # with k = 0 only equal sets are that similar, and they are one node
+        part = (n > 0) & (k > 0)
+        if step:
+            part &= most > ends[band - 1]
+        return part, band, groups, k + groups + 1
+
+    def signatures(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures of at most 2**16 sets that lie one after another in ``flat``: places of the sets, and 64-bit numbers."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        n = sizes.astype(np.int64)
+        own = np.repeat(np.arange(len(n)), n)
         with np.errstate(over="ignore"):
-            value = V.mix(s ^ _U(0xA0761D6478BD642F))
-            for band, parts, k in self.tags(len(s)):
-                if k == 0:  # only equal sets are that similar, and they are one node
+            value = V.mix(flat ^ _U(0xA0761D6478BD642F))
+            low, high = (value & _U(2**32 - 1)).astype(np.float64), (value >> _U(32)).astype(np.float64)
+            rare = None
+            if self.common is not None:
+                at = np.minimum(np.searchsorted(self.common, flat), len(self.common) - 1)
+                rare = (self.common[at] != flat).astype(np.float64)
+            for step in (0, 1):
+                part, band, groups, keep = self.plan(n, step)
+                if not part.any():
                     continue
-                part = (((V.mix(s + _U(band * 0x632BE59BD9B4E019 & 2**64 - 1)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
-                total = np.bincount(part, minlength=parts)
-                info = total if rare is None else np.bincount(part, rare, parts)
-                order = np.argsort(part, kind="stable")
-                sums = np.zeros(parts, _U)
-                heads = np.flatnonzero(np.diff(part[order], prepend=-1))
-                sums[part[order][heads]] = np.add.reduceat(value[order], heads)
-                sig = V.mix(sums ^ V.mix(np.arange(parts, dtype=_U) + _U(band << 32) + _U(1)))
-                if k + 1 < parts:
-                    few = _U(255) - np.minimum(info, 255).astype(_U) << _U(56) | _U(255) - np.minimum(total, 255).astype(_U) << _U(48)
-                    rank = few | sig >> _U(16)
-                    sig = sig[np.argpartition(rank, k)[: k + 1]]
-                out.append(sig)
-        return np.concatenate(out) if out else np.zeros(0, _U)
+                parts = np.where(part, 3 * groups, 0)
+                ends = np.cumsum(parts)
+                starts, total = ends - parts, int(ends[-1])
+                some = part[own]
+                who = own[some]
+                salted = V.mix(flat[some] + (band.astype(_U) * _U(0x632BE59BD9B4E019))[who]) >> _U(32)
+                place = starts[who] + (salted * parts.astype(_U)[who] >> _U(32)).astype(np.int64)
+                size = np.bincount(place, minlength=total)
+                info = size if rare is None else np.bincount(place, rare[some], total)
+                # sums of halves stay exact in doubles for fewer than 2**21 elements a partition
+                sums = np.bincount(place, low[some], total).astype(_U) + (np.bincount(place, high[some], total).astype(_U) << _U(32))
+                who = np.repeat(np.arange(len(n)), parts)
+                inside = np.arange(total) - starts[who]
+                sums = V.mix(sums ^ V.mix((inside + 1).astype(_U) + (band.astype(_U) << _U(40))[who]))
+                few = _U(255) - np.minimum(info, 255).astype(_U) << _U(40) | _U(255) - np.minimum(size, 255).astype(_U) << _U(32)
+                order = np.argsort(who.astype(_U) << _U(48) | few | sums >> _U(32), kind="stable")
+                kept = np.zeros(total, bool)
+                kept[order] = inside < keep[who]
+                kept, sums, who = kept.reshape(-1, 3), sums.reshape(-1, 3), who[::3]
+                for a, b in ((0, 1), (0, 2), (1, 2)):
+                    both = kept[:, a] & kept[:, b]
+                    places.append(who[both])
+                    found.append(V.mix(sums[both, a] * _U(0x9E3779B97F4A7C15) + sums[both, b]))
+        return np.concatenate(places), np.concatenate(found)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -150,14 +170,27 @@ _ROWS = pa.schema([("kind", pa.int32()), ("target", pa.int32()), ("doc_id", pa.i
 
 
 def _scan(words: int, percent: int, targets: int, common):
-    """Rows of kind 0: documents with their sets; kind 1: signatures sent to a target; kind 2: sets that share a signature here."""
+    """Rows of kind 0: documents with their sets' sketches; kind 1: signatures sent to a target; kind 2: sets that share a signature here."""
 
     def run(batches):
         enum, task = PartEnum(percent, np.frombuffer(common.value, _U) if common is not None else None), TaskContext.get().partitionId()
-        docs, sigs, owners, seen, held = [], [], [], set(), 0
+        docs, sigs, owners, seen = [], [], [], set()
+        names, sets, held, waiting = [], [], 0, 0
+
+        def enumerate_():
+            nonlocal held, waiting
+            if sets:
+                at, x = enum.signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+                sigs.append(x)
+                owners.append(np.array(names, np.int64)[at])
+                held += len(x)
+                names.clear()
+                sets.clear()
+            waiting = 0
 
         def flush():
             nonlocal held
+            enumerate_()
             sig, own = np.concatenate(sigs or [np.zeros(0, _U)]), np.concatenate(owners or [np.zeros(0, np.int64)])
             sig = sig & _HIGH | sig & _U(targets - 1)
             order = np.argsort(sig, kind="stable")
@@ -166,18 +199,17 @@ def _scan(words: int, percent: int, targets: int, common):
             new[1:] = sig[1:] != sig[:-1]
             dup = ~new
             dup[:-1] |= ~new[1:]
-            rows = [(0, (task * 31 + i) % targets, *d, s, n, None) for i, (d, s, n) in enumerate(docs)]
-            shared, names = sig[dup], own[dup]
+            rows = [(0, (task * 31 + i) % targets, *d) for i, d in enumerate(docs)]
+            shared, name = sig[dup], own[dup]
             for at in range(0, len(shared), 4096):
-                rows.append((2, (task * 31 + at // 4096) % targets, None, None, None, None, shared[at : at + 4096].tobytes() + names[at : at + 4096].tobytes()))
+                rows.append((2, (task * 31 + at // 4096) % targets, None, None, None, None, shared[at : at + 4096].tobytes() + name[at : at + 4096].tobytes()))
             sig, own = sig[new], own[new]
             to = (sig & _U(targets - 1)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             sig, own = sig[order], own[order]
-            cut = np.searchsorted(to[order], np.arange(targets + 1))
             low = (sig >> _U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-            for t in np.flatnonzero(np.diff(cut)).tolist():
-                a, b = cut[t], cut[t + 1]
+            heads = np.flatnonzero(np.diff(to[order], prepend=-1))
+            for t, a, b in zip(to[order][heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(sig)]):
                 rows.append((1, t, None, None, None, None, low[a:b].tobytes() + own[a:b].tobytes()))
             for x in (docs, sigs, owners):
                 x.clear()
@@ -188,75 +220,91 @@ def _scan(words: int, percent: int, targets: int, common):
 
         for doc, s in _sets(batches, words):
             name = set_id(s) if len(s) else None
-            docs.append((doc, name, len(s)))
+            docs.append((*doc, name, len(s), sketch(s).tobytes() if len(s) else None))
             if len(s) and name not in seen:
                 seen.add(name)
-                x = enum.signatures(s)
-                sigs.append(x)
-                owners.append(np.full(len(x), name, np.int64))
-                held += len(x)
-            if held >= WINDOW or len(docs) >= 50_000:
+                names.append(name)
+                sets.append(s)
+                waiting += len(s)
+                if waiting >= ELEMENTS or len(sets) == 1 << 16:
+                    enumerate_()
+            if held >= WINDOW or len(docs) >= 20_000:
                 yield from flush()
         yield from flush()
 
     return run
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+_FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("sig", pa.int64())])
+
+
+def shared_signatures(key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``(key, name)`` whose key has several names."""
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[first], name[first]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:].copy()
+    return key[same], name[same]
 
 
 def _meet(batches):
-    """Kind 0: documents as they came; kind 1: ``(sig, set_id)`` of signatures that two sets share."""
-    keys, names = [], []
+    """Kind 0: documents as they came; kind 1: ``(sig, set_id)`` of signatures that two sets share.
+
+    Rows come sorted by target, and one target's signatures are held at a time.
+    """
+    now, keys, names = None, [], []
 
     def out(name, sig):
         for at in range(0, len(name), 50_000):
             a, b = name[at : at + 50_000], sig[at : at + 50_000]
             none = pa.nulls(len(a), pa.int64())
-            yield pa.record_batch([pa.array(np.ones(len(a), np.int32)), none, none, pa.array(a), none, pa.array(b)], schema=_FOUND)
+            yield pa.record_batch([pa.array(np.ones(len(a), np.int32)), none, none, pa.array(a), none, pa.nulls(len(a), pa.binary()), pa.array(b)], schema=_FOUND)
+
+    def done():
+        if keys:
+            key, name = shared_signatures(np.concatenate(keys), np.concatenate(names))
+            keys.clear()
+            names.clear()
+            yield from out(name, key.view(np.int64))
 
     for b in batches:
         kind = b.column("kind").to_numpy()
-        own = b.take(pa.array(np.flatnonzero(kind == 0)))
-        yield pa.record_batch([own.column(x) for x in ("kind", "doc_id", "text_key", "set_id", "n")] + [pa.nulls(len(own), pa.int64())], schema=_FOUND)
-        target, blob = b.column("target").to_pylist(), b.column("blob")
-        for i in np.flatnonzero(kind == 1).tolist():
+        own = b.filter(pa.array(kind == 0))
+        yield pa.record_batch([own.column(x) for x in ("kind", "doc_id", "text_key", "set_id", "n", "blob")] + [pa.nulls(len(own), pa.int64())], schema=_FOUND)
+        target, blob = b.column("target").to_numpy(), b.column("blob")
+        for i in np.flatnonzero(kind > 0).tolist():
             raw = blob[i].as_buffer()
+            if kind[i] == 2:
+                n = raw.size // 16
+                yield from out(np.frombuffer(raw, np.int64, n, n * 8), np.frombuffer(raw, np.int64, n))
+                continue
+            if now != target[i]:
+                yield from done()
+                now = target[i]
             n = raw.size // 13
             key = np.zeros((n, 8), np.uint8)
             key[:, :5] = np.frombuffer(raw, np.uint8, n * 5).reshape(n, 5)
-            keys.append(key.reshape(-1).view(_U) << _U(24) | _U(target[i]))
-            names.append(np.frombuffer(raw, np.int64, n, n * 5))
-        for i in np.flatnonzero(kind == 2).tolist():
-            raw = blob[i].as_buffer()
-            n = raw.size // 16
-            yield from out(np.frombuffer(raw, np.int64, n, n * 8), np.frombuffer(raw, np.int64, n))
-    if keys:
-        key, name = np.concatenate(keys), np.concatenate(names)
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[first], name[first]
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        same[:-1] |= same[1:].copy()
-        key, name = key[same], name[same]
-        yield from out(name, key.view(np.int64))
-
-
-def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of several sampled documents, at most ``HINT_SHINGLES`` of them, sorted."""
-    every = max(1, docs.count() // HINT_DOCS)
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+            keys.append(key.reshape(-1).view(_U) << _U(24) | _U(now))
+            names.append(np.frombuffer(raw, np.int64, n, n * 5).copy())
+    yield from done()
+
+
+def _common_shingles(docs: DataFrame, words: int, rows: int) -> np.ndarray:
+    """Shingles of several sampled texts, at most ``HINT_SHINGLES`` of them, sorted."""
+    every = max(1, rows // HINT_DOCS)
+    picked = docs.where(F.pmod("text_key", F.lit(every)) == 0).dropDuplicates(["text_key"])
 
     def count(batches):
         for _, s in _sets(batches, words):
             yield pa.record_batch([pa.array(s.view(np.int64))], ["h"])
 
     kept = picked.select("doc_id", "text").mapInArrow(count, "h long").groupBy("h").count().where(F.col("count") >= HINT_LEAST)
-    top = kept.orderBy(F.desc("count"), "h").limit(HINT_SHINGLES).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(top.view(_U))
+    top = kept.orderBy(F.desc("count"), "h").limit(HINT_SHINGLES).select("h").toArrow()["h"].to_numpy()
+    return np.sort(top.astype(np.int64).view(_U))
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -276,83 +324,112 @@ def fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
+def _fits(n, m, apart, percent: int):
+    """Whether sets of sizes ``n`` and ``m`` that differ in ``apart`` elements or more can be linked."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def near(n: int, m: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets can be linked, by their sizes and sketches."""
+    words = min(len(a), len(b))
+    return bool(_fits(n, m, int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum()), percent))
+
+
 def near_pairs(names: np.ndarray, classes: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of one signature that may link: other classes, sizes and sketches near enough (and other blocks, if given)."""
     words = min(map(len, sketches))
     table = np.stack([fold(x, words) for x in sketches])
-    for i in range(len(names) - 1):
-        n = sizes[i + 1 :]
-        ok = (classes[i + 1 :] != classes[i]) & (100 * np.minimum(n, sizes[i]) >= percent * np.maximum(n, sizes[i]))
+    step = max(1, (1 << 20) // (len(names) * words))
+    for at in range(0, len(names) - 1, step):
+        some = slice(at, at + step)
+        ok = (classes[some, None] != classes[None, at:]) & (100 * np.minimum(sizes[some, None], sizes[None, at:]) >= percent * np.maximum(sizes[some, None], sizes[None, at:]))
         if blocks is not None:
-            ok &= blocks[i + 1 :] != blocks[i]
-        at = np.flatnonzero(ok) + i + 1
-        if len(at):
-            apart = np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64)
-            for j in at[apart * (100 + percent) <= (sizes[at] + sizes[i]) * (100 - percent)].tolist():
-                yield max(names[i], names[j]), min(names[i], names[j])
+            ok &= blocks[some, None] != blocks[None, at:]
+        i, j = np.nonzero(np.triu(ok, 1))
+        i, j = i + at, j + at
+        for cut in range(0, len(i), step * len(names)):
+            a, b = i[cut : cut + step * len(names)], j[cut : cut + step * len(names)]
+            apart = np.bitwise_count(table[a] ^ table[b]).sum(axis=1, dtype=np.int64)
+            for x in np.flatnonzero(_fits(sizes[a], sizes[b], apart, percent)).tolist():
+                yield max(names[a[x]], names[b[x]]), min(names[a[x]], names[b[x]])
 
 
-def _compare(percent: int):
-    """Runs of rows with one signature and pair of blocks; gives the pairs that may link.
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    A pair that shares several signatures is given once, at the least of them.
-    """
+
+def _compare(percent: int):
+    """Runs of rows with one signature and pair of blocks; gives the pairs that may link."""
 
     def run(batches):
         held = []
 
         def out(rows):
-            sig, lo, hi = rows[0][0]
-            one = {r[1]: r for r in rows}
-            if len(one) < 2:
+            lo, hi = rows[0][0][1:]
+            if len(rows) < 2:
                 return []
-            r = list(one.values())
-            blocks = np.array([x[5] for x in r]) if lo != hi else None
-            near = near_pairs(np.array([x[1] for x in r]), np.array([x[2] for x in r]), np.array([x[3] for x in r]), [np.frombuffer(x[4], _U) for x in r], blocks, percent)
-            return [(int(a), int(b)) for a, b in near if min(set(one[a][6]) & set(one[b][6])) == sig]
+            _, name, c, n, sketches, block = zip(*rows)
+            blocks = np.array(block) if lo != hi else None
+            return list(near_pairs(np.array(name), np.array(c), np.array(n), [np.frombuffer(x, _U) for x in sketches], blocks, percent))
 
         for b in batches:
             found = []
-            cols = [b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "c", "n", "sketch", "block", "sigs")]
+            cols = [b.column(c).to_pylist() for c in ("sig", "i", "j", "set_id", "c", "n", "sketch", "block")]
             for sig, i, j, *rest in zip(*cols):
                 if held and held[0][0] != (sig, i, j):
                     found += out(held)
                     held = []
                 held.append(((sig, i, j), *rest))
-            yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+            yield _batch(_PAIRS, *(zip(*found) if found else ([], [])))
         found = out(held) if held else []
-        yield pa.record_batch([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        yield _batch(_PAIRS, *(zip(*found) if found else ([], [])))
 
     return run
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``(set_id, n, elements, sketch)`` for the ``wanted(set_id)``, made again from one document of each."""
+def _elements(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """``(set_id, n, elements)`` for the ``wanted(set_id)``, made again from one document of each."""
     pick = stored(members.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
-    ids = small(pick.select("doc_id", "set_id"))
-    found = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id)).select(docs.doc_id, "text", "set_id")
+    found = docs.join(small(pick.select(F.col("doc_id").alias("d"), "set_id")), docs.doc_id.eqNullSafe(F.col("d"))).select("doc_id", "set_id", "text")
 
     def pack(batches):
         for b in batches:
-            want = b.column(2).to_pylist()
-            rows = [(w, len(s), s.tobytes(), sketch(s).tobytes()) for w, (_, s) in zip(want, _sets(iter([b.select([0, 1])]), words)) if len(s) and set_id(s) == w]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["set_id", "n", "elements", "sketch"])
+            rows = [(w, len(s), s.tobytes()) for (_, w), s in _sets(iter([b]), words) if len(s) and set_id(s) == w]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["set_id", "n", "elements"])
 
-    return stored(found.mapInArrow(pack, "set_id long, n long, elements binary, sketch binary").dropDuplicates(["set_id"]))
+    out = stored(found.mapInArrow(pack, "set_id long, n long, elements binary").dropDuplicates(["set_id"]))
+    dropped(pick)
+    return out
+
+
+def _both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs(a, b)`` with the ``columns`` of either end, named with a suffix of 1 or 2."""
+    for end, i in (("a", 1), ("b", 2)):
+        pairs = pairs.join(table.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}{i}") for c in columns]), end)
+    return pairs.select("a", "b", *[f"{c}{i}" for i in (1, 2) for c in columns])
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose sizes and sketches allow a link."""
+
+    def test(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("n1", "sketch1", "n2", "sketch2")]
+            keep = [near(n, m, np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for n, x, m, y in zip(*cols)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _both(pairs, sketches, ["n", "sketch"]).mapInArrow(test, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ``pairs(a, b)`` of set ids that are linked."""
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x")), "a")
-    both = both.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y")), "b")
 
     def test(batches):
         for b in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("x"), b.column("y"))]
+            keep = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("elements1"), b.column("elements2"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"))
+    return stored(_both(pairs, sets, ["elements"]).mapInArrow(test, "a long, b long"))
 
 
 def counts_of_links(names: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> np.ndarray:
@@ -410,17 +487,13 @@ def _count(percent: int):
     return run
 
 
-def _n_links(docs: DataFrame, members: DataFrame, classes: DataFrame, words: int, percent: int, n: int) -> DataFrame:
-    """``set_id, n_links``: the true number of links of every set that has any."""
+def _n_links(classes: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """``set_id, n_links``: the true number of links of every set that has any; ``sets`` has all their elements."""
     groups = stored(classes.groupBy("component").agg(F.count("*").alias("m")))
     named = classes.join(groups, "component").select(F.col("node").alias("set_id"), F.col("component").alias("c"), "m")
     pairs = named.where("m = 2").select("set_id", F.lit(1).cast("long").alias("n_links"))
-    named = stored(named.where("m > 2"))
-    if not named.take(1):
-        return pairs
-    sets = _sets_of(docs, named.select("set_id"), members, words).select("set_id", "n", "elements")
-    rows = named.join(sets, "set_id")
-    held = named.join(sets.select("set_id", "n"), "set_id").groupBy("c").agg(F.sum(8 * F.col("n")).alias("bytes"))
+    rows = named.where("m > 2").join(sets.select("set_id", "n", "elements"), "set_id")
+    held = named.where("m > 2").join(sets.select("set_id", "n"), "set_id").groupBy("c").agg(F.sum(8 * F.col("n")).alias("bytes"))
     rows = rows.join(small(stored(held)), "c")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -430,6 +503,25 @@ def _n_links(docs: DataFrame, members: DataFrame, classes: DataFrame, words: int
     return pairs.unionByName(stored(counted))
 
 
+def _apart(shared: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs ``(a, b)`` that may link, of sets that share a signature and are in different classes.
+
+    Of signatures with the same list of sets (as many, and alike in two 64-bit hashes
+    of the list) the least stands for all.
+    """
+    named = shared.join(classes, shared.set_id == classes.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("c"))
+    named = stored(named)
+    lists = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
+    mixed = stored(lists.where("lo <> hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = named.join(small(mixed), "sig").join(sketches, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = rows.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    out = stored(dealt.mapInArrow(_compare(percent), "a long, b long").distinct())
+    dropped(named, mixed)
+    return out
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, counted: bool = True) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_id, class_id, component_id, n_links`` for every row of ``docs(doc_id, text)``.
 
@@ -446,41 +538,35 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, counted:
     and share a component. A null doc_id takes part in links but names no component.
     Other columns are ignored; an empty table gives no rows.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    short_batches(spark)
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    targets = 1 << max(6, (4 * n - 1).bit_length())
-    top = _common_shingles(docs, words)
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # some two bytes of signatures for a byte of text; a target's share is held in one task
+    targets = 1 << min(24, max(6, (max(4 * n, 2 * size // TARGET_BYTES) - 1).bit_length()))
+    top = _common_shingles(docs, words, rows)
     common = spark.sparkContext.broadcast(top.tobytes()) if len(top) else None
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_scan(words, percent, targets, common), _MIX)
-    found = stored(rows.repartition(n, "target").mapInArrow(_meet, "kind int, doc_id long, text_key long, set_id long, n long, sig long"))
+    sent = docs.mapInArrow(_scan(words, percent, targets, common), _MIX).repartition(n, "target").sortWithinPartitions("target")
+    found = stored(sent.mapInArrow(_meet, "kind int, doc_id long, text_key long, set_id long, n long, sketch binary, sig long"))
     members = found.where("kind = 0").select("doc_id", "text_key", "set_id", "n")
-    shared = found.where("kind = 1").select("sig", "set_id")  # a set may come twice
+    shared = stored(found.where("kind = 1").select("sig", "set_id").distinct())
+    meeting = stored(shared.select("set_id").distinct())
+    sketches = stored(found.where("kind = 0").join(small(meeting), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     hubs = shared.groupBy("sig").agg(F.min("set_id").alias("b"))
-    star = stored(shared.join(hubs, "sig").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
-    wanted = star.select(F.col("a").alias("set_id")).union(star.select("b")).distinct()
-    links = _verified(star, _sets_of(docs, wanted, members, words), percent)
+    star = shared.join(hubs, "sig").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    tried = stored(_near(star, sketches, percent))
+    ends = lambda pairs: pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    sets = _elements(docs, ends(tried), members, words)
+    links = _verified(tried, sets, percent)
     classes = stored(components(links))
-
-    # signatures of three sets or more, not all in one class: other pairs than those with the least set
-    named = shared.join(classes, shared.set_id == classes.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("c"))
-    mixed = stored(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m >= 3").select("sig", "m"))
-    if not mixed.take(1):
-        return _result(members, classes, _n_links(docs, members, classes, words, percent, n) if counted else None)
-    rest = stored(named.join(small(mixed), "sig").distinct())
-    theirs = rest.groupBy("set_id").agg(F.collect_set("sig").alias("sigs"))
-    sets = _sets_of(docs, theirs.select("set_id"), members, words)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = rest.join(sets.select("set_id", "n", "sketch").join(theirs, "set_id"), "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
-    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = own.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block", "sigs").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    more = stored(dealt.mapInArrow(_compare(percent), "a long, b long").join(star, ["a", "b"], "left_anti"))
+    more = stored(_apart(shared, classes, sketches, percent, n).join(tried, ["a", "b"], "left_anti"))
     if more.take(1):
-        extra = _verified(more, sets, percent)
-        links = links.unionByName(extra)
+        sets = sets.unionByName(_elements(docs, ends(more).join(sets, "set_id", "left_anti"), members, words))
+        links = links.unionByName(_verified(more, sets, percent))
         classes = stored(components(links))
-    return _result(members, classes, _n_links(docs, members, classes, words, percent, n) if counted else None)
+    dropped(shared, meeting, sketches, tried, more)
+    return _result(members, classes, _n_links(classes, sets, percent, n) if counted else None)
 
 
 def _result(members: DataFrame, classes: DataFrame, ends: DataFrame | None) -> DataFrame:

@@ -141,8 +141,12 @@ def test_linked_sets_share_a_signature(n, seed, how, hint):
     b = np.union1d(a[away:], rng.integers(0, 2**63, new).astype(np.uint64))
     common = np.sort(rng.choice(a, len(a) // 2, replace=False)) if hint else None
     if jaccard.linked(a, b, 80) and len(a) != len(b) or not np.array_equal(a, b) and jaccard.linked(a, b, 80):
-        x, y = (jaccard.PartEnum(80, common).signatures(s) for s in (a, b))
+        enum = jaccard.PartEnum(80, common)
+        x, y = (enum.signatures(s, np.array([len(s)]))[1] for s in (a, b))
         assert set(x.tolist()) & set(y.tolist())
+        other = np.unique(rng.integers(0, 2**63, 30).astype(np.uint64))  # sets beside them change nothing
+        at, both = enum.signatures(np.concatenate([a, other, b]), np.array([len(a), len(other), len(b)]))
+        assert sorted(both[at == 0].tolist()) == sorted(x.tolist()) and sorted(both[at == 2].tolist()) == sorted(y.tolist())
 
 
 @settings(max_examples=100, deadline=None)
