@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 import weakref
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +101,20 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST
     return F.broadcast(df) if size <= most_bytes and df.count() <= most else df
 
 
+def trimmed(run):
+    """A function for ``mapInArrow`` that gives the memory it has used back to the system at its end:
+    Python workers are used again and again, and those beside them may need it."""
+
+    def held(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return held
+
+
 def crc_mod(doc_id: int | None, m: int) -> int:
     """crc32 of ``doc_id`` as text, modulo ``m``: the fold of a labelled row."""
     return zlib.crc32(str(doc_id).encode()) % m

@@ -46,11 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import dropped, small, stored
+from .common import dropped, small, stored, trimmed
 from .components import components
 
 #: Signatures that a task holds before it sends them on, and bytes of them for one target.
-WINDOW, TARGET_BYTES = 500_000, 32 << 20
+WINDOW, TARGET_BYTES = 250_000, 32 << 20
 #: The sample behind the rare/common hint: documents, shingles kept, and documents that make one common.
 HINT_DOCS, HINT_SHINGLES, HINT_LEAST = 8192, 1 << 19, 3
 #: Elements for which signatures are made at once.
@@ -59,7 +59,7 @@ ELEMENTS = 1 << 17
 #: more are cut into blocks, and pairs of blocks go to tasks of their own.
 BLOCK = 1024
 #: Bytes of elements that one block of a component holds, about, when links are counted.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
 _HIGH = _U(2**64 - 2**24)
@@ -397,7 +397,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int
             cols = list(zip(*rows)) or [[]] * 3
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["set_id", "n", "elements"])
 
-    out = stored(found.mapInArrow(pack, "set_id long, n long, elements binary").dropDuplicates(["set_id"]))
+    out = stored(found.mapInArrow(trimmed(pack), "set_id long, n long, elements binary").dropDuplicates(["set_id"]))
     dropped(pick)
     return out
 
@@ -418,7 +418,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             keep = [near(n, m, np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for n, x, m, y in zip(*cols)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _both(pairs, sketches, ["n", "sketch"]).mapInArrow(test, "a long, b long")
+    return _both(pairs, sketches, ["n", "sketch"]).mapInArrow(trimmed(test), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -429,7 +429,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("elements1"), b.column("elements2"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(_both(pairs, sets, ["elements"]).mapInArrow(test, "a long, b long"))
+    return stored(_both(pairs, sets, ["elements"]).mapInArrow(trimmed(test), "a long, b long"))
 
 
 def counts_of_links(names: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> np.ndarray:
@@ -499,7 +499,7 @@ def _n_links(classes: DataFrame, sets: DataFrame, percent: int, n: int) -> DataF
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = rows.select("c", F.inline(places), "set_id", "block", "elements").repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j")
-    counted = dealt.mapInArrow(_count(percent), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    counted = dealt.mapInArrow(trimmed(_count(percent)), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
     return pairs.unionByName(stored(counted))
 
 
@@ -517,7 +517,7 @@ def _apart(shared: DataFrame, classes: DataFrame, sketches: DataFrame, percent:
     rows = named.join(small(mixed), "sig").join(sketches, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = rows.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    out = stored(dealt.mapInArrow(_compare(percent), "a long, b long").distinct())
+    out = stored(dealt.mapInArrow(trimmed(_compare(percent)), "a long, b long").distinct())
     dropped(named, mixed)
     return out
 
@@ -546,8 +546,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, counted:
     targets = 1 << min(24, max(6, (max(4 * n, 2 * size // TARGET_BYTES) - 1).bit_length()))
     top = _common_shingles(docs, words, rows)
     common = spark.sparkContext.broadcast(top.tobytes()) if len(top) else None
-    sent = docs.mapInArrow(_scan(words, percent, targets, common), _MIX).repartition(n, "target").sortWithinPartitions("target")
-    found = stored(sent.mapInArrow(_meet, "kind int, doc_id long, text_key long, set_id long, n long, sketch binary, sig long"))
+    sent = docs.mapInArrow(trimmed(_scan(words, percent, targets, common)), _MIX).repartition(n, "target").sortWithinPartitions("target")
+    found = stored(sent.mapInArrow(trimmed(_meet), "kind int, doc_id long, text_key long, set_id long, n long, sketch binary, sig long"))
     members = found.where("kind = 0").select("doc_id", "text_key", "set_id", "n")
     shared = stored(found.where("kind = 1").select("sig", "set_id").distinct())
     meeting = stored(shared.select("set_id").distinct())
