@@ -6,15 +6,15 @@ word u, and N1+_c(.w) the number of distinct words that w follows there. Either
     p_c(w)   = e_c(w) / N1+_c(..)  + b_c    * p(w)     p(w) = N1+(.w) / N1+(..) over the whole corpus
     p_c(w|u) = e_c(u,w) / n_c(u.)  + b_c(u) * p_c(w)
 
-where e is the excess of a count over its discount, max(n - D - K E, 0), and b what the
+where e is the excess of a count over its discount, max(n (1 - K r) - D, 0), and b what the
 discounts leave of the mass, so each of the distributions sums to 1. The backoff
-counts N1+(.w), and the documents of the corpus that have a pair, are shared by both
-classes. Kneser-Ney's discount is the constant D. E, what the shared counts or the other
-class let expect in a sample of this size, is added because the log-likelihoods of
-long documents are otherwise ruled by how languages and subjects happen to be spread over
-two samples: with D alone an AUC of 0.64 to 0.83 on held-out rows was the best (README).
-So rare expressions, and those no commoner in a class than elsewhere, fall back on the shared
-counts and say nothing.
+counts N1+(.w), and the documents of the corpus that have a word or pair, are shared by
+both classes. D is Kneser-Ney's constant discount. K r is added: r is the part of the
+class's documents with the expression that the rate of such documents in the corpus,
+or in the other class, explains. Without it the log-likelihoods of long documents are
+ruled by how languages and subjects happen to be spread over two samples: with D alone
+an AUC of 0.64 to 0.83 on held-out rows was the best (README). So rare expressions, and
+those no commoner in a class than elsewhere, fall back on the shared counts and say nothing.
 
 A document's score is the calibrated mean of log p_toxic - log p_ordinary a word.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import dropped, fold, stored
+from .common import dropped, fold, stored, trimmed
 from .quality import logistic, sample_rows, sigmoid
 
 #: Discounts of words and of pairs, and the weights of what is expected.
@@ -93,20 +93,21 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sample_counts(rows: DataFrame) -> DataFrame:
-    """``y, u, w, n``: documents of each class that have the pair, for ``rows(y, text)``."""
+    """``kind, y, u, w, n``: documents of each class that have the pair (kind 0) or the word (1), for ``rows(y, text)``."""
 
     def run(batches):
         for b in batches:
             for y in (0, 1):
-                texts = b.column(1).filter(pc.equal(b.column(0), y))
-                for h, before, at in words(texts):
-                    one = _once_a_document(pair_hashes(before, h), at)
-                    _, first, n = np.unique(pair_hashes(before[one], h[one]), return_index=True, return_counts=True)
-                    for i in range(0, len(first), 50_000):
-                        k = one[first[i : i + 50_000]]
-                        yield pa.record_batch([pa.array(np.full(len(k), y, np.int32)), _signed(before[k]), _signed(h[k]), pa.array(n[i : i + 50_000])], ["y", "u", "w", "n"])
+                for h, before, at in words(b.column(1).filter(pc.equal(b.column(0), y))):
+                    for kind, key in enumerate((pair_hashes(before, h), h)):
+                        one = _once_a_document(key, at)
+                        _, first, n = np.unique(key[one], return_index=True, return_counts=True)
+                        for i in range(0, len(first), 50_000):
+                            k = one[first[i : i + 50_000]]
+                            u = before[k] if kind == 0 else np.zeros(len(k), _U)
+                            yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(np.full(len(k), y, np.int32)), _signed(u), _signed(h[k]), pa.array(n[i : i + 50_000])], ["kind", "y", "u", "w", "n"])
 
-    return stored(rows.mapInArrow(run, "y int, u long, w long, n long").groupBy("y", "u", "w").agg(F.sum("n").alias("n")))
+    return stored(rows.mapInArrow(trimmed(run), "kind int, y int, u long, w long, n long").groupBy("kind", "y", "u", "w").agg(F.sum("n").alias("n")))
 
 
 def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -115,26 +116,27 @@ def _arrays(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [t[c].to_numpy().astype(np.int64).view(_U) if c in ("u", "w") else t[c].to_numpy().astype(float) for c in names]
 
 
-def _uncommon(df: DataFrame, size: dict[int, float], d: float, k: float) -> DataFrame:
-    """The rows of ``df(n0, n1)`` that one class has more often than ``d`` and ``k`` times the other's rate."""
-    rate = size[1] / size[0]
-    return df.where(f"n1 > {d!r} + {k * rate!r} * n0 or n0 > {d!r} + {k / rate!r} * n1")
+def _uncommon(df: DataFrame, docs: dict[int, int], d: float, k: float) -> DataFrame:
+    """The rows of ``df(n0, n1)`` that one class has in more than ``d`` documents and ``k`` times the other's rate."""
+    rate = docs[1] / docs[0]
+    return df.where(f"n1 > {d!r} and n1 > {k * rate!r} * n0 or n0 > {d!r} and n0 > {k / rate!r} * n1")
 
 
 def _classes(y: str, n) -> list:
     return [F.coalesce(F.sum(F.when(F.col(y) == c, n)), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
 
 
-def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Over all ``docs``: distinct words before each word of the sorted ``vocabulary`` and, last, before
-    any other word; documents with each of the ``pairs`` (sorted hashes); documents."""
+    any other word; documents with each of the words, and of the ``pairs`` (sorted hashes); documents."""
     given = docs.sparkSession.sparkContext.broadcast((vocabulary, pairs))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     targets, schema = 4 * n, pa.schema([("target", pa.int32()), ("keys", pa.binary())])
 
     def gather(batches):
         own, two = given.value
-        keys, held, seen, count = [], 0, np.zeros(len(two) + 1, np.int64), 0
+        keys, held, count = [], 0, 0
+        seen = [np.zeros(len(x) + 1, np.int64) for x in (own, two)]
 
         def flush():
             nonlocal held
@@ -150,21 +152,23 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray) -
         for b in batches:
             count += b.num_rows
             for h, before, at in words(b.column(0)):
-                key = _find(own, h).astype(_U) << _U(_CONTEXT) | V.mix(before) >> _U(64 - _CONTEXT)
-                keys.append(np.unique(key))
+                places = (_find(own, h), _find(two, pair_hashes(before, h)))
+                keys.append(np.unique(places[0].astype(_U) << _U(_CONTEXT) | V.mix(before) >> _U(64 - _CONTEXT)))
                 held += len(keys[-1])
-                if len(two):
-                    p = _find(two, pair_hashes(before, h))
-                    seen += np.bincount(p[_once_a_document(p, at)], minlength=len(two) + 1)
+                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                for x, p in zip(seen, places):
+                    some = np.flatnonzero(p < len(x) - 1)
+                    x += np.bincount(np.unique(doc[some] * len(x) + p[some]) % len(x), minlength=len(x))
                 if held >= HELD:
                     keys[:] = [np.unique(np.concatenate(keys))]
                     held = len(keys[0])
                     if held >= HELD // 2:
                         yield from flush()
         yield from flush()
-        # of pairs and documents, sums: target -1
-        some = np.flatnonzero(seen[:-1])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([np.r_[some, seen[some], count].astype(np.int64).tobytes()], pa.binary())], schema=schema)
+        # sums of documents: targets -1 for words, -2 for pairs, -3 for all
+        for target, x in ((-1, seen[0][:-1]), (-2, seen[1][:-1]), (-3, np.array([count]))):
+            some = np.flatnonzero(x)
+            yield pa.record_batch([pa.array([target], pa.int32()), pa.array([np.r_[some, x[some]].astype(np.int64).tobytes()], pa.binary())], schema=schema)
 
     def count(batches):
         now, keys = None, []
@@ -180,9 +184,8 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray) -
             for target, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 x = np.frombuffer(blob.as_py(), np.int64)
                 if target < 0:
-                    m = (len(x) - 1) // 2
-                    kind = np.r_[np.ones(m, np.int32), np.int32(2)]
-                    yield pa.record_batch([pa.array(kind, pa.int32()), pa.array(np.r_[x[:m], 0]), pa.array(x[m:])], ["kind", "at", "n"])
+                    m = len(x) // 2
+                    yield pa.record_batch([pa.array(np.full(m, -target, np.int32)), pa.array(x[:m]), pa.array(x[m:])], ["kind", "at", "n"])
                     continue
                 if target != now:
                     yield from done()
@@ -190,13 +193,13 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray, pairs: np.ndarray) -
                 keys.append(x.view(_U))
         yield from done()
 
-    sent = docs.select("text").mapInArrow(gather, "target int, keys binary").repartition(n, "target").sortWithinPartitions("target")
-    got = sent.mapInArrow(count, "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    sent = docs.select("text").mapInArrow(trimmed(gather), "target int, keys binary").repartition(n, "target").sortWithinPartitions("target")
+    got = sent.mapInArrow(trimmed(count), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     kind, at, sums = (got[c].to_numpy() for c in ("kind", "at", "n"))
-    out = [np.zeros(len(vocabulary) + 1), np.zeros(len(pairs))]
+    out = [np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary)), np.zeros(len(pairs))]
     for k, x in enumerate(out):
         x[at[kind == k]] = sums[kind == k]
-    return out[0], out[1], int(sums[kind == 2].sum())
+    return *out, int(sums[kind == 3].sum())
 
 
 @dataclass(frozen=True)
@@ -226,30 +229,37 @@ class Model:
         return sigmoid(self.weights[0] * mean + self.weights[1])
 
 
-def excess(count: np.ndarray, size: float, shared: np.ndarray, other: np.ndarray, d: float, k: float) -> np.ndarray:
-    """Counts over the discount: ``d`` and ``k`` times the larger of what the shared rate and the other class's rate expect of ``size``."""
-    return np.maximum(count - d - k * size * np.maximum(shared, other), 0)
+def excess(count: np.ndarray, docs: np.ndarray, size: int, shared: np.ndarray, other: np.ndarray, d: float, k: float, rarer: float) -> np.ndarray:
+    """What is left of ``count`` after the discount ``d`` and ``k`` times the part of it that is explained.
+
+    ``docs`` of a class's ``size`` sampled documents have the expression; the rates ``shared``, of the corpus,
+    and ``other``, of the other class, explain so many of them. What only the rarer class has, with the share
+    ``rarer`` of all rows, comes up there 1/rarer times as often as in the corpus; of the shared rate
+    no more is taken than half way from once to that.
+    """
+    explained = size * np.maximum(min(k, (1 + 1 / rarer) / 2) * shared, k * other) / np.maximum(docs, 1.0)
+    return np.maximum(count * (1 - np.minimum(explained, 1)) - d, 0)
 
 
-def word_probabilities(seen: dict[int, np.ndarray], shared: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, float]]:
-    """p_c(w) for continuation counts ``seen`` of a class and ``shared`` ones, the last entry being all other words; and b_c."""
-    size = {y: max(x.sum(), 1.0) for y, x in seen.items()}
+def word_probabilities(seen: dict[int, np.ndarray], docs: dict[int, np.ndarray], size: dict[int, int], shared: np.ndarray, rate: np.ndarray, rarer: float) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """p_c(w) and b_c for continuation counts ``seen`` of a class and ``shared`` ones, the last entry being all other
+    words, the classes' documents with each word and their numbers, and the ``rate`` of such documents in the corpus."""
     p = (shared + 0.5) / (shared.sum() + 0.5 * len(shared))
     out, left = {}, {}
     for y in (0, 1):
-        e = excess(seen[y], size[y], p, seen[1 - y] / size[1 - y], D, K)
-        e[-1] = 0.0
-        left[y] = 1 - e.sum() / size[y]
-        out[y] = e / size[y] + left[y] * p
+        total = max(seen[y].sum(), 1.0)
+        e = np.append(excess(seen[y][:-1], docs[y], size[y], rate, docs[1 - y] / size[1 - y], D, K, rarer), 0.0)
+        left[y] = 1 - e.sum() / total
+        out[y] = e / total + left[y] * p
     return out, left
 
 
-def pair_probabilities(count: dict[int, np.ndarray], follow: dict[int, np.ndarray], at: np.ndarray, docs: dict[int, int], shared: np.ndarray, word: dict[int, np.ndarray]):
+def pair_probabilities(count: dict[int, np.ndarray], follow: dict[int, np.ndarray], at: np.ndarray, docs: dict[int, int], shared: np.ndarray, word: dict[int, np.ndarray], rarer: float):
     """p_c(w|u) of pairs whose context is number ``at``, and b_c(u), for pair counts, context counts ``follow``, numbers
     of documents, the share of the corpus's documents that has each pair, and the last words' p_c(w)."""
     p, left = {}, {}
     for y in (0, 1):
-        e = excess(count[y], docs[y], shared, count[1 - y] / docs[1 - y], D2, K2)
+        e = excess(count[y], count[y], docs[y], shared, count[1 - y] / docs[1 - y], D2, K2, rarer)
         n = np.maximum(follow[y], 1.0)
         left[y] = 1 - np.bincount(at, e, len(n)) / n
         p[y] = e / n[at] + left[y][at] * word[y]
@@ -267,35 +277,36 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
     constant = Model(none, none, none, 0.0, (0.0, math.log(share / (1 - share))))
     if not all(of(f, y) for f in (True, False) for y in (0, 1)):
         return constant
+    rarer = min(share, 1 - share)
     table = _sample_counts(got.where("not fit").select("y", "text"))
     n_docs = {y: of(False, y) for y in (0, 1)}
-    # words by the number of distinct words before them; pairs by documents
-    sums = table.groupBy("w").agg(*_classes("y", F.lit(1)))
-    total = {r.y: float(r.n) for r in table.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(total) < 2:
-        return constant
-    pu, pw, p0, p1 = _arrays(_uncommon(table.groupBy("u", "w").agg(*_classes("y", F.col("n"))), n_docs, D2, K2), "u", "w", "n0", "n1")
+    pairs, single = table.where("kind = 0"), table.where("kind = 1").groupBy("w").agg(*_classes("y", F.col("n")))
+    pu, pw, p0, p1 = _arrays(_uncommon(pairs.groupBy("u", "w").agg(*_classes("y", F.col("n"))), n_docs, D2, K2), "u", "w", "n0", "n1")
     ends = spark.createDataFrame(pa.table({"w": _signed(np.unique(pw))}))
-    chosen = stored(_uncommon(sums, total, D, K).select("w").union(ends).distinct())
-    w, n0, n1 = _arrays(sums.join(F.broadcast(chosen), "w"), "w", "n0", "n1")  # of the bounded sample
+    chosen = stored(_uncommon(single, n_docs, D, K).select("w").union(ends).distinct())
+    here = F.broadcast(chosen)  # of the bounded sample
+    # distinct words before each of them
+    sums = pairs.join(here, "w").groupBy("w").agg(*_classes("y", F.lit(1))).select("w", F.col("n0").alias("c0"), F.col("n1").alias("c1"))
+    w, n0, n1, c0, c1 = _arrays(single.join(here, "w").join(sums, "w"), "w", "n0", "n1", "c0", "c1")
     # all other words together: distinct words before any of them
-    rest = {r.y: r.n for r in table.join(F.broadcast(chosen), "w", "left_anti").select("y", "u").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rest = {r.y: r.n for r in pairs.join(here, "w", "left_anti").select("y", "u").distinct().groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = np.argsort(w)
-    w, seen = w[order], {y: np.append(x[order], rest.get(y, 0)) for y, x in ((0, n0), (1, n1))}
+    w, have = w[order], {0: n0[order], 1: n1[order]}
+    seen = {y: np.append(x[order], rest.get(y, 0)) for y, x in ((0, c0), (1, c1))}
     key = pair_hashes(pu, pw)
     order = np.argsort(key)
     key, pu, pw, count = key[order], pu[order], pw[order], {0: p0[order], 1: p1[order]}
-    one, two, n = _corpus_counts(docs, w, key)
-    word, left = word_probabilities(seen, one)
+    one, with_word, two, n = _corpus_counts(docs, w, key)
+    word, left = word_probabilities(seen, have, n_docs, one, with_word / max(n, 1), rarer)
     ratio, other = np.log(word[1]) - np.log(word[0]), math.log(left[1]) - math.log(left[0])
     before = np.unique(pu)
     context, pair = np.zeros(len(before)), np.zeros(0)
     if len(key):
         asked = F.broadcast(spark.createDataFrame(pa.table({"u": _signed(before)})))
-        u, f0, f1 = _arrays(table.join(asked, "u").groupBy("u").agg(*_classes("y", F.col("n"))), "u", "n0", "n1")
+        u, f0, f1 = _arrays(pairs.join(asked, "u").groupBy("u").agg(*_classes("y", F.col("n"))), "u", "n0", "n1")
         order = np.argsort(u)
         at, last = np.searchsorted(before, pu), np.searchsorted(w, pw)
-        p, b = pair_probabilities(count, {0: f0[order], 1: f1[order]}, at, n_docs, two / max(n, 1), {y: word[y][last] for y in (0, 1)})
+        p, b = pair_probabilities(count, {0: f0[order], 1: f1[order]}, at, n_docs, two / max(n, 1), {y: word[y][last] for y in (0, 1)}, rarer)
         context = np.log(b[1]) - np.log(b[0])
         pair = np.log(p[1]) - np.log(p[0]) - context[at] - ratio[last]
         some = np.abs(pair) > 1e-9
@@ -327,5 +338,5 @@ def scored(docs: DataFrame, model: Model, folds: int = FOLDS, held_out: int = HE
             score = 1 / (1 + np.exp(-np.clip(shared.value.weights[0] * x + shared.value.weights[1], -30, 30)))
             yield pa.record_batch([b.column(0), pa.array(score), pa.array(x)], ["doc_id", "score", "log_ratio"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, log_ratio double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, score double, log_ratio double")
     return out.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"), "log_ratio")

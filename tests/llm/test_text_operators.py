@@ -274,40 +274,3 @@ def test_classifiers_without_rows_or_labels(spark):
         assert module.scored(d.where("false"), model).count() == 0
     kept = quality.scored(d.withColumn("score", F.lit("x")).withColumn("lang", F.lit("en")), quality.fit(d, lab))
     assert kept.columns == ["doc_id", "text", "lang", "score", "held_out", "predicted"]
-
-
-def test_kneser_ney_mass_is_whole():
-    docs_ = [h for h in toxicity.words(pa.array(["a b a b", "a b c", "c c c", "b a"] * 10))]
-    one, two = np.zeros(toxicity.CELLS), np.zeros(toxicity.CELLS)
-    for h in docs_:
-        one[np.unique(toxicity._cell(h))] += 1
-        two[np.unique(toxicity._cell(toxicity._pairs(h)))] += 1
-    word, rest, _, _ = toxicity._class(docs_, one, two, len(docs_))
-    assert word.sum() == pytest.approx(1) and (word > 0).all() and (rest <= 1).all()
-
-
-def test_shared_counts_are_exact(spark):
-    """Words and pairs that share any number of leading hash bits are counted apart."""
-    rng = random.Random(9)
-    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(400)) for _ in range(400)] + ["", None]
-    hashed = [h for h in toxicity.words(pa.array(texts))]
-    one, two = ({}, {})
-    for h in hashed:
-        for table, x in ((one, h), (two, toxicity._pairs(h) if len(h) else h)):
-            for k in set(x.tolist()):
-                table[k] = table.get(k, 0) + 1
-    own, pairs = (np.array(sorted(t), np.uint64) for t in (one, two))
-    got = toxicity.shared_counts(docs(spark, texts), own, pairs)
-    assert got[0].tolist() == [one[k] for k in own.tolist()] and got[1].tolist() == [two[k] for k in pairs.tolist()]
-    assert got[2:] == (sum(one.values()), len(one), len(texts))
-
-
-def test_rarer_toxic_expressions_count(spark):
-    """A pair of words in one of 300 toxic documents is seen by the sample."""
-    text = F.when((F.col("doc_id") < 12_000) & (F.col("doc_id") % 300 == 0), F.lit("very beastly remark")).otherwise(F.concat(F.lit("some very plain remark w"), F.col("doc_id") % 50))
-    d = spark.range(120_000).select(F.col("id").alias("doc_id")).withColumn("text", text)
-    lab = d.where("doc_id < 24000").select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") < 12_000).cast("int").alias("toxic"))
-    model = toxicity.fit(d, lab)
-    pair = toxicity._pairs(next(toxicity.words(pa.array(["very beastly remark"]))))[1]
-    at = np.flatnonzero(model.pair[0] == pair)
-    assert len(at) == 1 and np.isfinite(model.pair[1][at[0]])
