@@ -62,13 +62,20 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Rows of a small table that one task writes.
+FILE_ROWS = 50_000
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a read, not a recomputation. The
-    tables of one application lie in one folder, named by its id.
+    tables of one application lie in one folder, named by its id. ``rows``, if it is known
+    that there are no more, keeps small tables from being written as many tiny files.
     """
     spark = df.sparkSession
+    if rows is not None and (parts := rows // FILE_ROWS + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     with settings(spark, WRITING):
         df.write.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,17 +20,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its least node.
 
     Each round is two aggregations and joins over the edges, written to the shared
     folder, and every edge set is at most the first one's size; stars of any size
-    take a few rounds. Nulls and self-loops are ignored; no edges give no rows.
+    take a few rounds. Nulls and self-loops are ignored; no edges give no rows. There are
+    at most ``rows`` edges, if that is known.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     mark = None
     for _ in range(rounds):
-        e = stored(_star(_star(e, True), False).distinct())
+        e, last = stored(_star(_star(e, True), False).distinct(), rows), e
+        dropped(last)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == mark:
             break

@@ -18,7 +18,8 @@ which shingles are rare comes from a bounded sample and never decides a link.
 
 Links are found in three steps, all exact:
 
-1. within a signature every set is compared with the signature's least set; a parity
+1. within a signature every set is compared with one of them, that which shares the most
+   signatures with others (the original of a group of copies rather than a copy); a parity
    sketch of every set bounds the difference from below, and only pairs within the
    bound are compared in full;
 2. signatures whose sets are in different components afterwards are reduced to one
@@ -386,9 +387,9 @@ def _compare(percent: int):
     return run
 
 
-def _elements(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """``(set_id, n, elements)`` for the ``wanted(set_id)``, made again from one document of each."""
-    pick = stored(members.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+def _elements(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int, most: int) -> DataFrame:
+    """``(set_id, n, elements)`` for the ``wanted(set_id)``, at most ``most``, made again from one document of each."""
+    pick = stored(members.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), most)
     found = docs.join(small(pick.select(F.col("doc_id").alias("d"), "set_id")), docs.doc_id.eqNullSafe(F.col("d"))).select("doc_id", "set_id", "text")
 
     def pack(batches):
@@ -421,15 +422,15 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return _both(pairs, sketches, ["n", "sketch"]).mapInArrow(trimmed(test), "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` of set ids that are linked."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """The ``pairs(a, b)`` of set ids, at most ``most``, that are linked."""
 
     def test(batches):
         for b in batches:
             keep = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("elements1"), b.column("elements2"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(_both(pairs, sets, ["elements"]).mapInArrow(trimmed(test), "a long, b long"))
+    return stored(_both(pairs, sets, ["elements"]).mapInArrow(trimmed(test), "a long, b long"), 20 * most)
 
 
 def counts_of_links(names: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> np.ndarray:
@@ -489,18 +490,19 @@ def _count(percent: int):
 
 def _n_links(classes: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """``set_id, n_links``: the true number of links of every set that has any; ``sets`` has all their elements."""
-    groups = stored(classes.groupBy("component").agg(F.count("*").alias("m")))
+    some = classes.count()
+    groups = stored(classes.groupBy("component").agg(F.count("*").alias("m")), some)
     named = classes.join(groups, "component").select(F.col("node").alias("set_id"), F.col("component").alias("c"), "m")
     pairs = named.where("m = 2").select("set_id", F.lit(1).cast("long").alias("n_links"))
     rows = named.where("m > 2").join(sets.select("set_id", "n", "elements"), "set_id")
     held = named.where("m > 2").join(sets.select("set_id", "n"), "set_id").groupBy("c").agg(F.sum(8 * F.col("n")).alias("bytes"))
-    rows = rows.join(small(stored(held)), "c")
+    rows = rows.join(small(stored(held, some)), "c")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = rows.select("c", F.inline(places), "set_id", "block", "elements").repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j")
     counted = dealt.mapInArrow(trimmed(_count(percent)), "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    return pairs.unionByName(stored(counted))
+    return pairs.unionByName(stored(counted, some))
 
 
 def _apart(shared: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int, n: int) -> DataFrame:
@@ -510,14 +512,14 @@ def _apart(shared: DataFrame, classes: DataFrame, sketches: DataFrame, percent:
     of the list) the least stands for all.
     """
     named = shared.join(classes, shared.set_id == classes.node, "left").select("sig", "set_id", F.coalesce("component", "set_id").alias("c"))
-    named = stored(named)
+    named = stored(named, shared.count())
     lists = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
-    mixed = stored(lists.where("lo <> hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"))
+    mixed = stored(lists.where("lo <> hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"), shared.count())
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = named.join(small(mixed), "sig").join(sketches, "set_id").withColumn("block", F.pmod(F.xxhash64("set_id"), blocks).cast("int"))
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = rows.select("sig", F.inline(places), "set_id", "c", "n", "sketch", "block").repartition(n, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    out = stored(dealt.mapInArrow(trimmed(_compare(percent)), "a long, b long").distinct())
+    out = stored(dealt.mapInArrow(trimmed(_compare(percent)), "a long, b long").distinct(), shared.count())
     dropped(named, mixed)
     return out
 
@@ -550,22 +552,25 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, counted:
     found = stored(sent.mapInArrow(trimmed(_meet), "kind int, doc_id long, text_key long, set_id long, n long, sketch binary, sig long"))
     members = found.where("kind = 0").select("doc_id", "text_key", "set_id", "n")
     shared = stored(found.where("kind = 1").select("sig", "set_id").distinct())
-    meeting = stored(shared.select("set_id").distinct())
-    sketches = stored(found.where("kind = 0").join(small(meeting), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    meeting = stored(shared.groupBy("set_id").agg(F.count("*").alias("times")), shared.count())
+    sketches = stored(found.where("kind = 0").join(small(meeting.select("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    hubs = shared.groupBy("sig").agg(F.min("set_id").alias("b"))
-    star = shared.join(hubs, "sig").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    tried = stored(_near(star, sketches, percent))
+    hubs = shared.join(small(meeting), "set_id").groupBy("sig").agg(F.max(F.struct("times", "set_id"))["set_id"].alias("hub"))
+    ends = shared.join(hubs, "sig").where("set_id <> hub").select(F.greatest("set_id", "hub").alias("a"), F.least("set_id", "hub").alias("b"))
+    star = ends.distinct()
+    tried = stored(_near(star, sketches, percent), shared.count())
     ends = lambda pairs: pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    sets = _elements(docs, ends(tried), members, words)
-    links = _verified(tried, sets, percent)
-    classes = stored(components(links))
-    more = stored(_apart(shared, classes, sketches, percent, n).join(tried, ["a", "b"], "left_anti"))
-    if more.take(1):
-        sets = sets.unionByName(_elements(docs, ends(more).join(sets, "set_id", "left_anti"), members, words))
-        links = links.unionByName(_verified(more, sets, percent))
-        classes = stored(components(links))
-    dropped(shared, meeting, sketches, tried, more)
+    most = tried.count()
+    sets = _elements(docs, ends(tried), members, words, 2 * most)
+    links = _verified(tried, sets, percent, most)
+    classes = stored(components(links, rows=most), 2 * most)
+    apart = _apart(shared, classes, sketches, percent, n)
+    more = stored(apart.join(tried, ["a", "b"], "left_anti"), apart.count())
+    if found_more := more.count():
+        sets = sets.unionByName(_elements(docs, ends(more).join(sets, "set_id", "left_anti"), members, words, 2 * found_more))
+        links = links.unionByName(_verified(more, sets, percent, found_more))
+        classes = stored(components(links, rows=most + found_more), 2 * (most + found_more))
+    dropped(shared, meeting, sketches, tried, apart, more)
     return _result(members, classes, _n_links(classes, sets, percent, n) if counted else None)
 
 
