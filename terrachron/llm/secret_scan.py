@@ -1,10 +1,12 @@
 """Secret scan with a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that
-any match must contain (on lower-cased text). The index holds the postings of
-those trigrams, one per distinct text; a rule's candidates are the texts in the
-intersection of the postings of one of its clauses, and only they are matched with
-the expression. A rule without mandatory trigrams is matched with every text.
+any match must contain (on lower-cased text), of which every clause keeps its rarest.
+The index holds the postings of those trigrams, one per distinct text, found in one
+pass over a text; a rule's candidates are the texts in the intersection of the postings
+of one of its clauses, and only they are matched with the expression. A rule without
+mandatory trigrams is matched with every text. An index that is kept serves any number
+of scans.
 
 All of it is DataFrame expressions; the driver only parses the expressions.
 """
@@ -12,6 +14,7 @@ All of it is DataFrame expressions; the driver only parses the expressions.
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass
 from re import _constants as C
 from re import _parser
@@ -42,12 +45,15 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_password", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._!$*+=-]+@"),
 )
 
 #: Strings that one part of an expression may expand to before it counts as anything.
 EXPAND = 64
+#: Trigrams that a clause keeps, and letters from common to rare; other characters are rarer.
+GRAMS, LETTERS = 2, " etaoinshrdlcumwfgypbvkjxqz"
+RUN = 256
 
 
 def _clauses(strings: frozenset[str]) -> frozenset[frozenset[str]] | None:
@@ -116,13 +122,40 @@ def trigram_query(regex: str) -> list[list[str]] | None:
     return None if need is None else sorted(sorted(c) for c in need)
 
 
+def rarest(query: list[list[str]], most: int = GRAMS) -> list[list[str]]:
+    """The query with the ``most`` rarest trigrams of each clause: fewer conditions, so no match is lost."""
+    rank = lambda g: sum(LETTERS.find(c) if c in LETTERS else len(LETTERS) for c in g)
+    return sorted({tuple(sorted(sorted(c, key=lambda g: (-rank(g), g))[:most])) for c in query})
+
+
+def any_of(grams: list[str]) -> str:
+    """An expression that stands before each place where one of ``grams`` starts, with the gram as its group 2."""
+    tree: dict = {}
+    for g in grams:
+        at = tree
+        for c in g:
+            at = at.setdefault(c, {})
+
+    def branch(at: dict) -> str:
+        parts = [re.escape(c) + branch(rest) for c, rest in sorted(at.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    heads = "".join(re.escape(c) for c in sorted(tree))
+    return f"(?s)(?=([{heads}]))(?=({branch(tree)}))"
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index: ``(gram, text_key)`` for every distinct text and each of ``grams`` it has."""
-    low = F.lower("text")
-    has = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    """The inverted index: ``(gram, text_key)`` for every distinct text of ``docs(text_key, text)`` and each of ``grams`` it has."""
+    has = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(grams)), F.lit(2)))
     return docs.select("text_key", F.explode(has).alias("gram")).distinct()
 
 
+def grams_of(rules: tuple[Rule, ...]) -> tuple[list[str], dict[str, list[list[str]]]]:
+    """The trigrams that an index for ``rules`` needs, and the rules' queries; rules without one are left out."""
+    queries = {r.kind: rarest(q) for r in rules if (q := trigram_query(r.regex)) is not None}
+    return sorted({g for q in queries.values() for c in q for g in c}), queries
+
+
 def candidates(spark: SparkSession, index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
     """``text_key, kinds``: texts that meet a clause of a rule, by intersecting its postings."""
     rows = [(kind, i, len(c), g) for kind, q in queries.items() for i, c in enumerate(q) for g in c]
@@ -139,7 +172,6 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     rx = F.lit(rule.regex)
     parts = F.arrays_zip(F.split(text, rule.regex, -1), F.regexp_extract_all(text, rx, F.lit(0)), F.regexp_extract_all(text, rx, F.lit(rule.group)))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
         a = acc["at"] + F.length(x["0"])
@@ -148,21 +180,30 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         keep = x["1"].isNotNull() & (F.length(x["2"]) >= rule.least)
         return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    # by runs of RUN matches, as an array that grows is copied at every step
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda i: F.slice(parts, i * RUN + 1, RUN))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,rank:int,kind:string,end:int>>>").alias("out"))
+
+    def run(acc, some):
+        got = F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(got["at"].alias("at"), F.when(F.size(got["out"]) > 0, F.concat(acc["out"], F.array(got["out"]))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(runs, start, run, lambda acc: F.flatten(acc["out"]))
 
 
-def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED) -> DataFrame:
+def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED, index: DataFrame | None = None) -> DataFrame:
     """``doc_id, text, spans`` with ``spans`` by start, then rule, for every row of ``docs(doc_id, text)``.
 
     ``spans`` has ``start, rank, kind, end`` in code points, the end exclusive, and
     ``rank`` the rule's place. Null text is empty and has none. Repeated rows stay;
     equal texts are looked up once; other columns are ignored; no rows give no rows.
+    ``index`` may be one made before, by ``postings`` of at least the ``grams_of`` the rules.
     """
     rules = (*base, *added)
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not None}
+    grams, queries = grams_of(rules)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    index = stored(postings(keyed, sorted({g for q in queries.values() for c in q for g in c})))
+    index = stored(postings(keyed, grams)) if index is None else index
     found = small(stored(candidates(docs.sparkSession, index, queries)))
     both = keyed.join(found, "text_key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
