@@ -6,8 +6,10 @@ awarded a block for every odd quotient t/(2j+1) that reaches half the block size
 taken in falling order of those quotients, that is Sainte-Lague's method with the
 block size as divisor, so after k of K shards the awards are the apportionment of
 that many seats and their differences are whole quotas for every shard. Each
-source then takes its blocks: all of them as often as they go into the quota, and
-the rest spread evenly from a seeded phase.
+source then takes its blocks: all of them as often as they go into the quotas, and
+the rest spread evenly from a seeded phase. The takes of a source are numbered, first
+whole rounds over its line, then the rest, and every shard gets the next ones, as
+many as its quota.
 
 Everything is a DataFrame expression. Prefix sums go in two steps (totals of
 buckets, then inside a bucket), so no task sees a whole source.
@@ -66,6 +68,15 @@ def quotas(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.select("source", (F.col("k") - 1).alias("shard"), (seats(F.col("k")) - seats(F.col("k") - 1)).alias("quota"))
 
 
+def shard_of(take: Column, shards: int) -> Column:
+    """The shard, from 0, that gets a source's take number ``take``, from 0: the first after which so many seats are awarded."""
+    seats = lambda k: F.col("target") * k / (F.col("block") * F.lit(float(shards)))
+    near = F.floor((take + 0.5) * F.col("block") * F.lit(float(shards)) / F.col("target")).cast("int")
+    # the quotient t/(2j+1) reaches half a block; rounding may put the closed form one off
+    tries = F.array(*[near + i for i in (-1, 0, 1, 2)])
+    return F.element_at(F.filter(tries, lambda k: (k >= 1) & (F.floor(seats(k) + 0.5) > take)), 1) - 1
+
+
 def _plan(sizes: DataFrame, weights, share, most, seed, shards) -> DataFrame:
     """One row a source: target, block size, blocks, quota, whole rounds, extra blocks and phase."""
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -98,9 +109,10 @@ def placed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
     """Documents with their place on the source's line and what the mix takes of them.
 
     ``docs(doc_id, text, source)`` gives ``doc_id, source, key, size, source_size,
-    target, text_key, taken, copies``. ``size`` is the number of words (null text: 0), ``taken``
-    the words in awarded blocks, repeats counted, at most ``most`` times the size;
-    ``copies`` how often the block with the document's first word is taken.
+    target, text_key, taken, copies, shards``. ``size`` is the number of words (null text: 0),
+    ``taken`` the words in awarded blocks, repeats counted, at most ``most`` times the size;
+    ``copies`` how often the block with the document's first word is taken, and ``shards``
+    which shard gets each of those takes.
 
     A null source is a source of its own, the last; empty texts have size and taken
     0; repeated rows are counted and placed one by one; a source without words has
@@ -115,15 +127,21 @@ def placed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1
     sums = sums.select(F.col("source").alias("s"), "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     plan = stored(_plan(sizes, weights, share, most, seed, shards))
     starts = sums.join(small(plan, 100_000), sums.s.eqNullSafe(plan.source)).drop("source")
-    own = sizes.withColumn("bucket", bucket).withColumn("salted", F.concat(F.coalesce("source", F.lit("\x00")), F.lit("/"), bucket))
+    null = F.col("source").isNull()
+    own = sizes.withColumn("bucket", bucket).withColumn("salted", F.struct(null.alias("null"), F.coalesce("source", F.lit("")).alias("source"), F.col("bucket").alias("bucket")))
     inside = Window.partitionBy("salted").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    starts = starts.withColumn("salted", F.concat(F.coalesce("s", F.lit("\x00")), F.lit("/"), F.col("bucket"))).drop("s", "bucket")
+    starts = starts.withColumn("salted", F.struct(F.col("s").isNull().alias("null"), F.coalesce("s", F.lit("")).alias("source"), F.col("bucket").alias("bucket"))).drop("s", "bucket")
     at = own.join(starts, "salted").withColumn("start", F.col("base") + F.col("before"))
     taken = F.col("rounds") * F.col("size") + _up_to(F.col("start") + F.col("size")) - _up_to(F.col("start"))
-    first = F.floor(F.least(F.col("start"), F.greatest(F.col("source_size") - 1, F.lit(0))) / F.col("block"))
-    copies = F.col("rounds") + _chosen(first + 1) - _chosen(first)
-    return at.select("doc_id", "source", "key", "text_key", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
+    at = at.withColumn("first", F.floor(F.least(F.col("start"), F.greatest(F.col("source_size") - 1, F.lit(0))) / F.col("block")))
+    more = _chosen(F.col("first") + 1) - _chosen(F.col("first"))
+    none = F.array().cast("array<bigint>")
+    takes = F.concat(
+        F.when(F.col("rounds") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1), lambda r: r * F.col("blocks") + F.col("first"))).otherwise(none),
+        F.when(more > 0, F.array(F.col("rounds") * F.col("blocks") + _chosen(F.col("first")))).otherwise(none),
+    )
+    return at.select("doc_id", "source", "key", "text_key", "size", "source_size", "target", taken.alias("taken"), (F.col("rounds") + more).alias("copies"), F.transform(takes, lambda t: shard_of(t, shards)).alias("shards"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -132,20 +150,22 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Rows alike in doc_id, source and text share their copies evenly.
     """
     place = placed(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    place = stored(place.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("t"), "copies", "rows"))
-    key = F.xxhash64("text")
+    names = {"doc_id": "mix__d", "source": "mix__s", "text_key": "mix__t", "copies": "mix__copies", "rows": "mix__rows"}
+    place = stored(place.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    docs = docs.drop(*names.values(), "mix__r", "mix__copy")
+    key, columns = F.xxhash64("text"), docs.columns
 
     def joined(part: DataFrame) -> DataFrame:
         side = small(part)
-        return docs.join(side, docs.doc_id.eqNullSafe(side.d) & docs.source.eqNullSafe(side.s) & (key == side.t))
+        return docs.join(side, docs.doc_id.eqNullSafe(side.mix__d) & docs.source.eqNullSafe(side.mix__s) & (key == side.mix__t))
 
-    out = joined(place.where("rows = 1 and copies > 0"))
-    again = place.where("rows > 1 and copies > 0")
+    out = joined(place.where("mix__rows = 1 and mix__copies > 0"))
+    again = place.where("mix__rows > 1 and mix__copies > 0")
     if again.take(1):
-        order = Window.partitionBy("d", "s", "t").orderBy(*[c for c in docs.columns if c != "text"])
-        more = joined(again).withColumn("r__", F.row_number().over(order))
-        out = out.unionByName(more.withColumn("copies", F.expr("copies div rows + int(r__ <= copies % rows)")).drop("r__"))
-    return out.where("copies > 0").withColumn("copy__", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+        order = Window.partitionBy("mix__d", "mix__s", "mix__t").orderBy(*[docs[c] for c in columns if c != "text"])
+        more = joined(again).withColumn("mix__r", F.row_number().over(order))
+        out = out.unionByName(more.withColumn("mix__copies", F.expr("mix__copies div mix__rows + int(mix__r <= mix__copies % mix__rows)")).drop("mix__r"))
+    return out.where("mix__copies > 0").withColumn("mix__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix__copies").cast("int")))).select(*columns)
 
 
 #: The same as ``placed`` with its defaults, as SQL over ``documents``.
@@ -164,9 +184,15 @@ v AS (SELECT *, (1.5::DOUBLE * CAST(size_all AS DOUBLE) - 2.0::DOUBLE * CAST(siz
 t AS (SELECT source, source_size, CASE WHEN level >= per THEN lim
              ELSE w * max(level) OVER () END AS target FROM v),
 p AS (SELECT *, CAST(greatest(1, least(2048, floor(coalesce(min(CASE WHEN target > 0 THEN target END) OVER (), 0.0) / 128))) AS BIGINT) AS block FROM t),
-q AS (SELECT *, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks,
-             CAST(floor(target * 24 / (block * 24.0::DOUBLE) + 0.5) AS BIGINT) AS quota,
-             CAST(('0x' || substr(md5('17|' || coalesce(source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS phase FROM p),
+n AS (SELECT source, j, target / (2 * j + 1) AS quotient, block
+      FROM (SELECT source, target, block, unnest(range(0, CAST(target / block AS BIGINT) + 2)) AS j FROM p)),
+o AS (SELECT source, count(*) AS quota FROM n WHERE quotient >= block / 2.0::DOUBLE GROUP BY source),
+q AS (SELECT p.*, CAST(ceil(source_size / CAST(block AS DOUBLE)) AS BIGINT) AS blocks, CAST(coalesce(o.quota, 0) AS BIGINT) AS quota,
+             CAST(('0x' || substr(md5('17|' || coalesce(p.source, '')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS phase
+      FROM p LEFT JOIN o ON p.source IS NOT DISTINCT FROM o.source),
+-- the shard of a take: the first whose quotients, with the target's share of the shards so far, reach half a block
+g AS (SELECT source, j, CAST(min(k) - 1 AS INT) AS shard
+      FROM (SELECT source, j, block, quotient, unnest(range(1, 25)) AS k FROM n) WHERE quotient * k / 24.0::DOUBLE >= block / 2.0::DOUBLE GROUP BY source, j),
 r AS (SELECT *, CASE WHEN blocks > 0 THEN least(quota // blocks, 2) ELSE 0 END AS rounds FROM q),
 e AS (SELECT *, CASE WHEN blocks > 0 AND rounds < 2 THEN quota - rounds * blocks ELSE 0 END AS extra FROM r),
 d AS (SELECT z.doc_id, z.size, e.*, CAST(coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.k, z.doc_id, z.size
@@ -176,10 +202,19 @@ x AS (SELECT *, a // block AS i, (a + size) // block AS j FROM d),
 c AS (SELECT *, CASE WHEN blocks > 0 THEN CAST(floor(i * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) ELSE 0 END AS ci,
              CASE WHEN blocks > 0 THEN CAST(floor((i + 1) * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) ELSE 0 END AS ci1,
              CASE WHEN blocks > 0 THEN CAST(floor(j * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) ELSE 0 END AS cj,
-             CASE WHEN blocks > 0 THEN CAST(floor((j + 1) * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) ELSE 0 END AS cj1 FROM x)
+             CASE WHEN blocks > 0 THEN CAST(floor((j + 1) * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) ELSE 0 END AS cj1 FROM x),
+-- takes of the block with a document's first word
+f AS (SELECT *, least(a, greatest(source_size - 1, 0)) // block AS h FROM c),
+z AS (SELECT *, CAST(floor(h * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) AS ch,
+             CAST(floor((h + 1) * CAST(extra AS DOUBLE) / blocks + phase) AS BIGINT) AS ch1 FROM f),
+y AS (SELECT *, row_number() OVER () AS rid, CASE WHEN blocks > 0 THEN
+        list_concat([r * blocks + h FOR r IN range(0, rounds)], CASE WHEN ch1 > ch THEN [rounds * blocks + ch] ELSE [] END) ELSE [] END AS takes FROM z),
+u AS (SELECT x.rid, string_agg(CAST(g.shard AS VARCHAR), ',' ORDER BY x.take) AS shards
+      FROM (SELECT rid, source, unnest(takes) AS take FROM y) x JOIN g ON x.source IS NOT DISTINCT FROM g.source AND x.take = g.j GROUP BY x.rid)
 SELECT doc_id, size, source_size, target,
        CAST(rounds * size
          + cj * block + (cj1 - cj) * least(a + size - j * block, least((j + 1) * block, source_size) - j * block)
-         - ci * block - (ci1 - ci) * least(a - i * block, least((i + 1) * block, source_size) - i * block) AS BIGINT) AS taken
-FROM c
+         - ci * block - (ci1 - ci) * least(a - i * block, least((i + 1) * block, source_size) - i * block) AS BIGINT) AS taken,
+       coalesce(u.shards, '') AS shards
+FROM y LEFT JOIN u ON y.rid = u.rid
 """

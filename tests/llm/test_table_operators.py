@@ -226,6 +226,32 @@ def test_mix_comes_near_and_agrees(spark):
     assert mixing.placed(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
 
+def test_shards_take_the_blocks_of_their_quotas(spark):
+    """Every shard gets as many takes of a source as the highest quotients award it, over blocks of one word."""
+    rng = random.Random(4)
+    rows = [(i, "w", rng.choice(["a", "a", "a", "b", None])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(1)).withColumn("rows", F.lit(2)).withColumn("mix__d", F.lit(3))
+    got = mixing.placed(df, shards=6).collect()
+    assert all(len(r.shards) == r.copies == r.taken for r in got)
+    sources = {r.source: r.target for r in got}
+    heap, seats, won = [(-t, 1, str(s)) for s, t in sources.items()], Counter(), Counter()
+    for r in got:
+        seats.update(r.shards)
+        won.update((str(r.source), k) for k in r.shards)
+    heapq.heapify(heap)
+    for k in range(6):
+        awarded = Counter()
+        for _ in range(seats[k]):
+            q, odd, s = heapq.heappop(heap)
+            awarded[s] += 1
+            heapq.heappush(heap, (q * odd / (odd + 2), odd + 2, s))
+        assert awarded == {s: won[s, k] for s in map(str, sources) if won[s, k]}
+    mixed = mixing.mixed(df)
+    assert mixed.columns == ["doc_id", "text", "source", "copies", "rows"] and mixed.count() == sum(r.copies for r in mixing.placed(df).collect())
+    odd = spark.createDataFrame([(i, "a b", s) for i, s in enumerate(["\x00", None] * 20)], "doc_id long, text string, source string")
+    assert {(r.source, r.source_size) for r in mixing.placed(odd).collect()} == {("\x00", 40), (None, 40)}
+
+
 def test_sql_of_mixing_urls_and_contamination(spark):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
