@@ -353,9 +353,9 @@ def test_contamination(spark, seed, monkeypatch):
     docs, items = leak_rows(seed)
     if seed == 2:
         monkeypatch.setattr(decontaminate, "small", lambda df, most=0: df)
-    d = spark.createDataFrame(docs, DOC).withColumn("found", F.lit("clash")).withColumn("lang", F.lit("en"))
+    d = spark.createDataFrame(docs, DOC).withColumn("found", F.lit("clash")).withColumn("text_key", F.lit(1)).withColumn("near_items", F.lit(1)).withColumn("lang", F.lit("en"))
     got = decontaminate.contamination(d, spark.createDataFrame(items, "item_id long, text string"))
-    assert got.columns == ["doc_id", "text", "lang", "n_words", "n_hit", "items", "contaminated"]
+    assert got.columns == ["doc_id", "text", "found", "text_key", "lang", "n_words", "n_hit", "items", "contaminated", "near_items"]
     want = contaminated(docs, [("" if i is None else i, t) for i, t in items])
     assert sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()))) == sorted(map(str, want))
     assert all(r.contaminated == (r.n_hit > 0) for r in got.collect())
@@ -363,17 +363,42 @@ def test_contamination(spark, seed, monkeypatch):
 
 def test_contamination_of_nothing(spark):
     d, b = spark.createDataFrame([(1, "a b c")], DOC), spark.createDataFrame([], "item_id long, text string")
-    assert [tuple(r)[2:] for r in decontaminate.contamination(d, b).collect()] == [(3, 0, [], False)]
+    assert [tuple(r)[2:] for r in decontaminate.contamination(d, b).collect()] == [(3, 0, [], False, [])]
     assert decontaminate.contamination(d.where("false"), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
 
 
+def near_by_hand(docs, items):
+    """Items of which a text has enough anchors on alignments of one stretch."""
+    split = {i: [w for w in re.findall(decontaminate.WORD, (t or "").lower()) if w] for i, t in items}
+    n = Counter(w for ws in split.values() for w in ws)
+    out = {}
+    for d, t in docs:
+        own, found = re.findall(decontaminate.WORD, (t or "").lower()), set()
+        for i, ws in split.items():
+            k = min(10, len(ws))
+            marks = {q for s in range(len(ws) - k + 1) for q in sorted(range(s, s + k), key=lambda q: (n[ws[q]], -len(ws[q]), q))[: decontaminate.ANCHORS]} if ws else set()
+            stretches = {}
+            for pos, w in enumerate(own):
+                for q in marks:
+                    if ws[q] == w:
+                        s = (pos - q) // decontaminate.STEP
+                        stretches.setdefault(s, set()).add(q)
+                        stretches.setdefault(s - 1, set()).add(q)
+            if any(len(x) >= decontaminate.NEAR for x in stretches.values()):
+                found.add(str(i))
+        out[d] = sorted(found)
+    return out
+
+
 def test_proximity(spark):
-    passage = [f"term{i}" for i in range(20)]
-    loose = " ".join(passage[:7] + ["filler"] + passage[7:14] + ["more"] + passage[14:])
-    d = spark.createDataFrame([(1, loose), (2, "term0 and then nothing of it")], DOC)
-    b = spark.createDataFrame([("7", passage)], "item_id string, w array<string>")
-    got = decontaminate.proximity_matches(d, b, slop=3, least=3).collect()
-    assert len(got) == 1 and got[0].item_id == "7"
+    passage = [f"term{i}" for i in range(40)]
+    loose = " ".join(w for i, w in enumerate(passage) for w in ([w, "filler"] if i % 9 == 8 else [w]))
+    rng = random.Random(2)
+    docs = [(1, loose), (2, "term0 and then nothing of it"), (3, None), (4, "x " * 30_000 + loose)] + [(10 + i, " ".join(rng.choices(passage, k=60))) for i in range(20)]
+    items = [(7, " ".join(passage)), (8, " ".join(passage[5:25])), (9, "short one"), (10, None)]
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert "7" in got[1].near_items and not got[1].contaminated and got[4].near_items == got[1].near_items and got[2].near_items == []
+    assert {d: r.near_items for d, r in got.items()} == near_by_hand(docs, items)
 
 
 # -- 10 urls ---------------------------------------------------------------------------
