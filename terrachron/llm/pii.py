@@ -1,33 +1,41 @@
 """Personal data: patterns for the base kinds, then bootstrapped contextual extraction.
 
 Matches of the base kinds are seeds. A seed occurrence induces lexical patterns: the
-word or two words before it, or the words on both sides, with the shape of the
-identifier between. Spark then scores the bipartite graph of patterns and instances
-in turns: a pattern by the share of its distinct instances that are believed and the
-logarithm of their number, an instance by the patterns that extract it. Patterns
-above a confidence admit further identifier-like tokens, which take part in the next
-turn. What high-confidence patterns extract beside the seeds is added as kind ``id``.
-
-The texts are read once, in Arrow batches; the graph holds only identifier-like
-tokens. No table of it goes to the driver.
+word or two words before it, or the words on both sides, each once for any identifier
+and once for identifiers of the seed's class. Spark then scores the bipartite graph of
+patterns and instances in turns: a pattern by the share of its distinct instances that
+are believed, an instance by the patterns that extract it. Patterns above a confidence
+admit further instances, which take part in the next turn. What high-confidence patterns
+extract beside the seeds is added as kind ``id``.
+
+An instance may be any token with a digit or of a handle's form, or several tokens of
+digits and separators in a row, so a context learned from one kind finds identifiers of
+another form. The texts are read once, in Arrow batches; the graph holds only instances and
+their contexts. No table of it goes to the driver.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of the bootstrap; a pattern needs this many believed instances, this share of
 #: believed ones among all it extracts, and an instance this much belief.
 TURNS, SUPPORT, CONFIDENCE, BELIEF = 3, 3.0, 0.6, 0.6
 
+#: Characters that an instance has at least.
+LEAST = 3
 _SOME = re.compile(r"[0-9@]")
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().,/:+-]*")
+_HANDLE = re.compile(r"@[A-Za-z0-9_][A-Za-z0-9_.-]*")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -37,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?()[]{}<>\"'`|*#$%&="
+_FIRM = _EDGE.replace("(", "").replace(")", "")
 
 
 def luhn(digits: str) -> bool:
@@ -79,49 +88,98 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(token: str) -> str:
-    """Runs of letters as ``a``, of digits as ``9`` with their rough length, the rest as it is."""
-    token = re.sub(r"[^\W\d_]+", "a", token[:200])
-    return re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 10)}", token)[:60]
+def form(text: str) -> str:
+    """The class of an identifier: mail, number, handle, or mixed letters and digits."""
+    if "@" in text[1:]:
+        return "mail"
+    if text.startswith("@"):
+        return "handle"
+    return "mixed" if any(c.isalpha() for c in text) else "number"
+
+
+def _word(text: str) -> str:
+    """A word of a context: without its edges, in lower case; what holds digits is left open, a long one named by its hash."""
+    text = text.strip(_EDGE).lower()
+    if _SOME.search(text):
+        return "#"
+    return text if len(text) <= 64 else hashlib.md5(text.encode()).hexdigest()
+
+
+class _Contexts:
+    """The words of a text, and the patterns around parts of it."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens = text, [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.tokens]
+        self.words: dict[int, str] = {}
+
+    def word(self, i: int) -> str:
+        if not 0 <= i < len(self.tokens):
+            return ""
+        if i not in self.words:
+            a, b = self.tokens[i]
+            self.words[i] = _word(self.text[a:b])
+        return self.words[i]
+
+    def around(self, a: int, b: int, since: int = 0) -> list[str]:
+        """The patterns of ``text[a:b]``; none where no word is before it. Of the word that it is part of, what follows ``since`` counts."""
+        first, last = bisect.bisect_right(self.starts, a) - 1, bisect.bisect_left(self.starts, b) - 1
+        stuck = _word(self.text[max(self.starts[first], since) : a])
+        before = [self.word(i) for i in (first - 2, first - 1)] if not stuck else [self.word(first - 1), stuck]
+        if not before[-1]:
+            return []
+        out, after = [f"{before[-1]} _"], self.word(last + 1)
+        if before[0]:
+            out.append(f"{' '.join(before)} _")
+        if after:
+            out.append(f"{before[-1]} _ {after}")
+        own = form(self.text[a:b])
+        return [x for p in out for x in (p, f"{p} | {own}")]
 
 
-def _edges(text: str, a: int, b: int) -> list[str]:
-    """The patterns around ``text[a:b]``; words that hold digits are left open."""
-    word = lambda w: re.sub(r"\S*[0-9@]\S*", "#", w.strip(_EDGE).lower()) if w else ""
-    before = [word(w) for w in text[max(0, a - 120) : a].split()[-2:]]
-    after = text[b : b + 60].split()[:1]
-    after, form = (word(after[0]) if after else ""), shape(text[a:b])
-    out = []
-    if before and before[-1]:
-        out.append(f"{before[-1]} _ | {form}")
-        if len(before) > 1:
-            out.append(f"{' '.join(before)} _ | {form}")
-        if after:
-            out.append(f"{before[-1]} _ {after} | {form}")
-    return out
+def _name(text: str) -> str:
+    """What stands for an instance in the graph."""
+    text = " ".join(text.lower().split())
+    return text if len(text) <= 64 else hashlib.md5(text.encode()).hexdigest()
 
 
 def occurrences(text: str) -> list[tuple[int, int, int, str, list[str]]]:
-    """``(start, end, kind, instance, patterns)`` of base spans and, with kind -1, of other tokens with digits."""
+    """``(start, end, kind, instance, patterns)`` of base spans and, with kind -1, of other identifiers."""
     if not _SOME.search(text):
         return []
-    spans, out = base_spans(text), []
+    spans, out, read, end = base_spans(text), [], _Contexts(text), 0
     for a, k, b in spans:
-        out.append((a, b, k, text[a:b].lower(), _edges(text, a, b)))
-    at = 0
-    ends = sorted((a, b) for a, _, b in spans)
-    for m in _TOKEN.finditer(text):
-        t = m[0]
-        if not _SOME.search(t):
-            continue
-        a = m.start() + len(t) - len(t.lstrip(_EDGE))
-        t = t.strip(_EDGE)
-        b = a + len(t)
-        while at < len(ends) and ends[at][1] <= a:
-            at += 1
-        if len(t) < 5 or any(x < b and a < y for x, y in ends[at : at + 8]) or not any("0" <= c <= "9" for c in t):
-            continue
-        out.append((a, b, -1, t.lower(), _edges(text, a, b)))
+        out.append((a, b, k, _name(text[a:b]), read.around(a, b, min(end, a))))
+        end = max(end, b)
+    at, end = 0, 0
+    row: list[tuple[int, int]] = []  # numbers with one blank between
+
+    def close():
+        if row:
+            a, b = row[0][0], row[-1][1]
+            if b - a >= LEAST:
+                out.append((a, b, -1, _name(text[a:b]), read.around(a, b)))
+            row.clear()
+
+    for a, b in read.tokens:
+        token = text[a:b].strip(_FIRM)
+        if not (number := _NUMBER.fullmatch(token) and token.count("(") == token.count(")")):
+            token = token.strip(_EDGE)
+        a = text.index(token, a)
+        b = a + len(token)
+        while at < len(spans) and spans[at][0] < b:
+            end, at = max(end, spans[at][2]), at + 1
+        if end > a or not token:  # it overlaps a base span
+            close()
+        elif number:
+            if row and text[row[-1][1] : a] != " ":
+                close()
+            row.append((a, b))
+        else:
+            close()
+            if len(token) >= LEAST and (_HANDLE.fullmatch(token) or any("0" <= c <= "9" for c in token)):
+                out.append((a, b, -1, _name(token), read.around(a, b)))
+    close()
     return out
 
 
@@ -166,7 +224,7 @@ def extract(docs: DataFrame) -> DataFrame:
     columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row"))
-    found = stored(rows.mapInArrow(_read, _FOUND))
+    found = stored(rows.mapInArrow(trimmed(_read), _FOUND))
     each = found.select("row", F.inline("found"))
     accepted = bootstrap(each.select("instance", "kind", F.explode("patterns").alias("pattern")))
     open_ = each.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).distinct()

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,55 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.extract(docs(spark, ["x"]).where("false")).count() == 0
 
 
+def test_bootstrap_finds_other_forms(spark):
+    """A context of mails finds numbers, handles and spaced numbers; ordinary numbers are left alone."""
+    mails = [f"please write to member id a{i}b@example.com for help" for i in range(12)]
+    phones = [f"dial +1 415 555 01{i:02d} at night" for i in range(12)]
+    unseen = ["123-45-6789", "AB12345", "@jane_doe", "7791", "020 7946 0958", "(020) 7946 0958"]
+    found = [f"please write to member id {x} for help" for x in unseen] + [f"dial {x} at night" for x in unseen]
+    plain = [f"in the year {i} it rained for {i % 50} days" for i in range(1000, 1400)] + ["page 12 of 90", "1 2 3 4 5 " * 2000]
+    texts = mails + phones + found + plain
+    got = {r.doc_id: r.spans for r in pii.extract(docs(spark, texts)).collect()}
+    n = len(mails) + len(phones)
+    ids = {texts[i][s.start : s.end] for i in range(n, n + len(found)) for s in got[i] if s.kind == "id"}
+    assert ids >= set(unseen), set(unseen) - ids
+    assert all(len([s for s in got[n + i] if s.kind == "id"]) == 1 for i in range(len(found)))
+    assert not any(s.kind == "id" for i in range(n + len(found), len(texts)) for s in got[i])
+
+
+def test_bootstrap_is_that_of_plain_python(spark):
+    rng = random.Random(8)
+    names = [f"i{i}" for i in range(40)]
+    kinds = {x: (rng.randrange(4) if i < 15 else -1) for i, x in enumerate(names)}
+    edges = {(f"p{rng.randrange(12)}", x) for x in names for _ in range(4)} | {("good", x) for x in names[:22]}
+    rows = [(p, x, kinds[x]) for p, x in edges] * 2
+    belief = {(x, k): 1.0 for x, k in kinds.items() if k >= 0}
+    for _ in range(pii.TURNS):
+        f, size = Counter(), Counter(p for p, _ in edges)
+        for p, x in edges:
+            for (y, k), b in belief.items():
+                if x == y:
+                    f[p, k] += b
+        accepted = {(p, k): v / size[p] for (p, k), v in f.items() if v >= pii.SUPPORT and v / size[p] >= pii.CONFIDENCE}
+        miss = {}
+        for p, x in edges:
+            for (q, k), c in accepted.items():
+                if p == q and kinds[x] < 0:
+                    miss[x, k] = miss.get((x, k), 1.0) * (1 - min(c, 0.999))
+        belief = {(x, k): 1.0 for x, k in kinds.items() if k >= 0} | {k: 1 - m for k, m in miss.items() if 1 - m >= pii.BELIEF}
+    got = pii.bootstrap(spark.createDataFrame(rows, "pattern string, instance string, kind int")).collect()
+    assert {(r.pattern, r.kind): pytest.approx(r.confidence) for r in got} == accepted
+
+
+def test_contexts_in_long_texts():
+    """No context is cut, and a word of very many addresses is read in one pass."""
+    far = "name" + " " * 5000 + "a@b.cd"
+    assert [o[4] for o in pii.occurrences(far)] == [["name _", "name _ | mail"]]
+    assert len(pii.occurrences("x@y.zz," * 100_000)) == 100_000
+    long_ = pii.occurrences("w" * 300 + " 12345")
+    assert long_[0][4][0] == hashlib.md5(b"w" * 300).hexdigest() + " _"
+
+
 # -- 3 and 8 classifiers ---------------------------------------------------------------
 def auc(y, s):
     rank = np.argsort(np.argsort(s)) + 1
