@@ -132,6 +132,13 @@ def affine(scheme: str, left: Column, top: Column, level) -> list[Column]:
     return [px, F.lit(0.0), left * px + x0, F.lit(0.0), -px, F.lit(y0) - top * px]
 
 
+def envelope(west: Column, south: Column, east: Column, north: Column) -> dict[str, Column]:
+    """A box in degrees as a box in mercator metres."""
+    x = lambda lon: (lon / 360.0) * EQUATOR_METRES
+    y = lambda lat: (F.lit(0.5) - lat_to_y(lat)) * EQUATOR_METRES
+    return {"xmin": x(west), "ymin": y(south), "xmax": x(east), "ymax": y(north)}
+
+
 def pixel_size(scheme: str, level) -> Column:
     return F.lit(360.0 if scheme == KEYHOLE else EQUATOR_METRES) / (_n(level) * TILE_PX)
 

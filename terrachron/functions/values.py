@@ -78,3 +78,27 @@ def generalisation(level: Column) -> tuple[Column, Column]:
     """Half a pixel in metres, and the decimals that keep a tenth of one, for a zoom's footprints."""
     px = F.lit(40075016.68557849) / (F.pow(F.lit(2.0), level) * 256)
     return px / 2, F.greatest(F.lit(0), F.ceil(-F.log10(px / 10))).cast("int")
+
+
+def metadata_query_url(root: Column, layer: Column, level: Column) -> Column:
+    """The footprint layer's query address for a release and zoom."""
+    return F.concat_ws("/", root, layer.cast("string"), F.lit("MapServer"), metadata_scale(level).cast("string"), F.lit("query"))
+
+
+def packet_url(path: Column, epoch: Column, database: str | None = None) -> Column:
+    """The address of a quadtree packet, of the default imagery or of a named database."""
+    if database is None:
+        return F.concat(F.lit("https://kh.google.com/flatfile?q2-"), path, F.lit("-q."), epoch.cast("string"))
+    return F.concat(F.lit(f"https://khmdb.google.com/flatfile?db={database}&qp-"), path, F.lit("-q."), epoch.cast("string"))
+
+
+def root_url(database: str | None = None) -> str:
+    """The address of a database's root document."""
+    named = f"db={database}" if database else ""
+    return f"https://khmdb.google.com/dbRoot.v5?{named}&hl=en&gl=us&output=proto"
+
+
+def sources_json(source: Column) -> Column:
+    """Aggregate: the distinct source records as one JSON list, by their text; null if there are none."""
+    each = F.array_sort(F.collect_set(F.to_json(source, {"ignoreNullFields": "false"})))
+    return F.when(F.size(each) > 0, F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))

@@ -42,6 +42,5 @@ def missing_tiles(wanted: DataFrame, found: DataFrame) -> DataFrame:
 
 def require_all(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """``found``, or an error when it runs if a wanted tile has no row (the strict path)."""
-    state = wanted.select(*TILE).distinct().join(found, list(TILE), "left")
-    there = F.coalesce(*[F.col(c).isNotNull() for c in found.columns if c not in TILE][:1])
-    return state.where(F.when(there, F.lit(True)).otherwise(F.raise_error(F.lit("no version of a selected tile")).cast("boolean")))
+    state = wanted.select(*TILE).distinct().join(found.withColumn("there__", F.lit(True)), list(TILE), "left")
+    return state.where(F.when(F.col("there__"), F.lit(True)).otherwise(F.raise_error(F.lit("no version of a selected tile")).cast("boolean"))).drop("there__")

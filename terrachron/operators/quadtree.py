@@ -78,3 +78,13 @@ def nodes_of_tiles(tiles: DataFrame, decoded: DataFrame) -> DataFrame:
     above = F.when(last < 4, F.lit("0")).otherwise(F.substr(F.col("path"), F.lit(1), last - F.pmod(last - 1, F.lit(4))))
     keyed = tiles.withColumn("packet", above).withColumn("number", G.subindex(F.col("path")))
     return keyed.join(decoded, ["packet", "number"]).select("path", "cache_node_epoch", "imagery_epoch", "dates")
+
+
+def binary_imagery(nodes: DataFrame, imagery: int = 0) -> DataFrame:
+    """``path, number, capture_date, epoch, provider``: the undated image of every node of ``packets`` that has one.
+
+    A node with children bits of an image takes its first layer of the type
+    ``imagery``; other nodes give no row.
+    """
+    own = F.try_element_at(F.filter("layers", lambda x: x["type"] == imagery), F.lit(1))
+    return nodes.select("path", "number", F.lit(None).cast("date").alias("capture_date"), own.alias("x")).where("x is not null").select("path", "number", "capture_date", "x.epoch", "x.provider")

@@ -1,6 +1,6 @@
 """Payload checks, mosaics by block, and overview levels.
 
-Decoders are looked up by format; PNG is built in and others can be registered.
+Decoders are looked up by format; PNG and sequential JPEG are built in and others can be registered.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import image_header, inflate, parse_packet, read_png, unmask, write_png
 from ..functions.grids import TILE_PX
+from ..functions.jpeg import read_jpeg
 
-DECODERS: dict[str, Callable[[bytes], np.ndarray | None]] = {"png": read_png}
+DECODERS: dict[str, Callable[[bytes], np.ndarray | None]] = {"png": read_png, "jpeg": read_jpeg}
 
 
 def inspect(content):
@@ -41,6 +42,26 @@ def decode(data: bytes | None) -> np.ndarray | None:
     return px if px is not None and px.shape[:2] == (TILE_PX, TILE_PX) else None
 
 
+def first_decodable(candidates: DataFrame, tile: tuple[str, ...] = ("tile_col", "tile_row")) -> DataFrame:
+    """Each tile's first candidate, by ``rank``, whose ``content`` is a tile that can be read; the later ones are not.
+
+    Candidates of a tile come to one task in order, and one row is held at a time.
+    """
+
+    def run(batches):
+        done = None
+        for b in batches:
+            keys, keep = list(zip(*(b.column(c).to_pylist() for c in tile))), []
+            for key, data in zip(keys, b.column("content")):
+                ok = key != done and data.is_valid and decode(data.as_py()) is not None
+                done = key if ok else done
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    dealt = candidates.repartition(*tile).sortWithinPartitions(*tile, "rank")
+    return dealt.mapInArrow(run, candidates.schema)
+
+
 def mosaic_blocks(tiles: DataFrame, window: tuple[int, int, int, int], block: int = 1024) -> DataFrame:
     """``block_x, block_y, width, height, pixels, mask``: the raster of a pixel window in blocks.
 
@@ -84,10 +105,10 @@ def halve(px: np.ndarray) -> np.ndarray:
     """Half the size along both axes, edges repeated."""
     out = px.astype(float)
     for axis in (0, 1):
+        # the pair of pixels 2j, 2j+1 stands in the middle of twelve: five before it and five after
         padded = np.pad(out, [(5, 5) if a == axis else (0, 0) for a in range(out.ndim)], mode="edge")
         n = out.shape[axis] // 2
-        out = sum(k * np.take(padded, np.arange(n) * 2 + i, axis) for i, k in enumerate(_kernel()[:11]))
-        out = out / _kernel()[:11].sum()
+        out = sum(k * np.take(padded, np.arange(n) * 2 + i, axis) for i, k in enumerate(_kernel()))
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 

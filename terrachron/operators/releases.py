@@ -19,10 +19,12 @@ def catalogue(releases: DataFrame) -> DataFrame:
 
 
 def as_of(releases: DataFrame, day: str | dt.date) -> DataFrame:
-    """The latest release on or before a day; an error when it runs if there is none."""
-    old = releases.where(F.col("release_date") <= F.lit(as_date(day)))
-    one = old.agg(F.max_by(F.struct(*RELEASE), F.struct("release_date", "release_id")).alias("r"))
-    none = F.raise_error(F.lit(f"no release on or before {as_date(day)}")).cast("boolean")
+    """The latest release on or before a day; an error when it runs if there is none, which names the earliest."""
+    order = F.struct("release_date", "release_id")
+    old = F.when(F.col("release_date") <= F.lit(as_date(day)), order)
+    one = releases.agg(F.max_by(F.struct(*RELEASE), old).alias("r"), F.min("release_date").alias("first"))
+    earliest = F.coalesce(F.concat(F.lit("; the earliest release is "), F.col("first").cast("string")), F.lit(""))
+    none = F.raise_error(F.concat(F.lit(f"no release on or before {as_date(day)}"), earliest)).cast("boolean")
     return one.where(F.when(F.col("r").isNotNull(), F.lit(True)).otherwise(none)).select("r.*")
 
 

@@ -298,12 +298,12 @@ def release_as_of_each(spark, sf_dir):
     return releases.as_of_each(o, V.releases(spark, sf_dir), F.col("day")).select("o_orderkey", "release_id", "release_date")
 
 
-_LISTING = "listing AS (SELECT DISTINCT c.capture_date, r.release_id, r.release_date FROM captures c JOIN releases r ON r.release_date >= c.capture_date AND r.release_date < c.capture_date + INTERVAL 4 MONTH WHERE c.object_id % 5 = 0)"
+_LISTING = "listing AS (SELECT DISTINCT c.capture_date, r.release_id, r.release_date FROM captures c JOIN releases r ON r.release_date >= c.capture_date AND r.release_date < c.capture_date + INTERVAL 4 MONTH)"
 
 
 def _listing(spark, sf_dir):
     """Which releases list which dates: a date is listed in the four months from it on."""
-    dates = V.captures(spark, sf_dir).where("object_id % 5 = 0").select("capture_date").distinct()
+    dates = V.captures(spark, sf_dir).select("capture_date").distinct()
     later = dates.select("capture_date", F.explode(F.expr("transform(sequence(0, 3), k -> add_months(capture_date, k))")).alias("release_date"))
     return later.join(V.releases(spark, sf_dir), "release_date")
 
@@ -531,14 +531,32 @@ def provider_names(spark, sf_dir):
 _KEY = bytes((i * 37 + 11) % 256 for i in range(1016))
 
 
-@query("SELECT event_id, sha256(props) AS digest, CAST(length(props) AS INT) AS n FROM events WHERE event_id % 10 = 0 AND props IS NOT NULL")
+def _mask_sql(n: int) -> str:
+    """The key byte at every place of a text of up to ``n`` bytes, as the format's rule gives it: the
+    place starts at 16; after every 8 bytes it goes on by 16, and past the key's end it starts again 8 further in, modulo 24."""
+    places, at, off = [], 16, 16
+    for i in range(n):
+        places.append(at)
+        at += 1
+        if at % 8 == 0:
+            at += 16
+        if at >= len(_KEY):
+            off = (off + 8) % 24
+            at = off
+    return "[" + ", ".join(str(_KEY[p]) for p in places) + "]"
+
+
+@query(f"""WITH k AS (SELECT {_mask_sql(64)} AS mask), e AS (SELECT event_id, substr(props, 1, 64) AS t FROM events WHERE props IS NOT NULL)
+SELECT event_id, array_to_string([lpad(lower(to_hex(xor(ascii(t[i]), mask[i]))), 2, '0') FOR i IN range(1, length(t) + 1)], '') AS masked, CAST(length(t) AS INT) AS n FROM e, k""")
 def xor_decode(spark, sf_dir):
+    """The first 64 bytes of every text, masked once; the SQL has the key's bytes by the format's rule."""
+
     @F.pandas_udf("binary")
     def masked(body: pd.Series) -> pd.Series:
         return pd.Series([C.unmask(bytes(b), _KEY) for b in body])
 
-    e = V.read(spark, sf_dir, "events").where("event_id % 10 = 0 and props is not null")
-    return e.select("event_id", masked(masked(F.encode("props", "utf-8"))).alias("b")).select("event_id", F.sha2("b", 256).alias("digest"), F.length("b").alias("n"))
+    e = V.read(spark, sf_dir, "events").where("props is not null")
+    return e.select("event_id", F.lower(F.hex(masked(F.encode(F.substring("props", 1, 64), "utf-8")))).alias("masked"), F.length(F.substring("props", 1, 64)).alias("n"))
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 3 THEN NULL ELSE 'png' END AS image_format, CASE WHEN s_suppkey % 4 < 3 THEN CASE s_suppkey % 4 WHEN 0 THEN 256 ELSE 64 END END AS width, s_suppkey % 4 = 0 AS is_tile FROM supplier""")
@@ -564,15 +582,22 @@ def packet_decode(spark, sf_dir):
     return raster.packets(s, _KEY).select("path", "number", "children", "cache_node_epoch", F.size("layers").alias("n_layers"))
 
 
-@query(V.with_sql(V.RELEASES) + "SELECT pos, CAST(1000 + pos AS INT) AS layer_id, release_id, release_date, 'World Imagery (Wayback ' || CAST(release_date AS VARCHAR) || ')' AS title FROM releases")
+@query(V.with_sql(V.RELEASES) + """SELECT row_number() OVER (ORDER BY pos) AS pos, CAST(1000 + pos AS INT) AS layer_id, release_id, release_date, 'World Imagery (Wayback ' || CAST(release_date AS VARCHAR) || ')' AS title,
+  CASE WHEN pos % 2 = 0 THEN 'set ' || CAST(pos AS VARCHAR) ELSE 'default028mm' END AS matrix_set FROM releases WHERE pos % 11 <> 0 AND pos % 9 <> 0 AND pos % 8 <> 0 AND pos % 7 <> 0 AND pos % 10 <> 3""")
 def capabilities_parse(spark, sf_dir):
-    r = V.releases(spark, sf_dir)
-    title = F.concat(F.lit("World Imagery (Wayback "), F.col("release_date").cast("string"), F.lit(")"))
-    url = F.concat(F.lit("https://t/World_Imagery/tile/"), (1000 + F.col("pos")).cast("string"), F.lit("/{TileMatrix}"))
-    layer = F.concat(F.lit("<Layer><ows:Title>"), title, F.lit("</ows:Title><ows:Identifier>"), F.col("release_id"), F.lit('</ows:Identifier><ResourceURL template="'), url, F.lit('"/></Layer>'))
+    """A document with layers of every kind that is left out: without a date, the mark, a whole number, an address or an identifier."""
+    r, pos = V.releases(spark, sf_dir), F.col("pos")
+    title = F.concat(F.lit(" World Imagery (Wayback "), F.when(pos % 11 == 0, F.lit("undated")).otherwise(F.col("release_date").cast("string")), F.lit(")\n"))
+    mark = F.when(pos % 9 == 0, F.lit("Other_Imagery")).otherwise(F.lit("World_Imagery"))
+    number = F.when(pos % 8 == 0, F.lit("x7")).otherwise((1000 + pos).cast("string"))
+    kind = F.when(pos % 7 == 0, F.lit("FeatureServer")).otherwise(F.lit("MapServer"))
+    url = F.concat(F.lit("https://t/"), mark, F.lit("/"), kind, F.lit("/tile/"), number, F.lit("/{TileMatrix}"))
+    name = F.when(pos % 10 == 3, F.lit("")).otherwise(F.concat(F.lit("<ows:Identifier>"), F.col("release_id"), F.lit("</ows:Identifier>")))
+    sets = F.when(pos % 2 == 0, F.concat(F.lit("<TileMatrixSetLink><TileMatrixSet>set "), pos.cast("string"), F.lit("</TileMatrixSet></TileMatrixSetLink>"))).otherwise(F.lit(""))
+    layer = F.concat(F.lit("<Layer><ows:Title>"), title, F.lit("</ows:Title>"), name, F.lit('<ResourceURL template="'), url, F.lit('"/>'), sets, F.lit("</Layer>"))
     every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", layer.alias("x")))), lambda s: s["x"]), "")
     body = F.concat(F.lit('<Capabilities xmlns:ows="http://o"><Contents>'), every, F.lit("</Contents></Capabilities>"))
-    return catalogue.releases(r.agg(body.alias("body"))).select("pos", "layer_id", "release_id", "release_date", "title")
+    return catalogue.releases(r.agg(body.alias("body"))).select("pos", "layer_id", "release_id", "release_date", "title", "matrix_set")
 
 
 @query(V.with_sql(V.CAPTURES, V.RELEASES, V.TILEMAPS) + "SELECT pos, tile_col, tile_row, has, sel FROM tilemaps")
@@ -582,10 +607,10 @@ def tilemap_parse(spark, sf_dir):
     return catalogue.tilemaps(t.select("pos", "tile_col", "tile_row", body.alias("body"))).select("pos", "tile_col", "tile_row", "has", "sel")
 
 
-@query(V.with_sql(V.CAPTURES, _COVER) + "SELECT capture_date AS date, round(coverage, 5) AS coverage FROM shares WHERE capture_date >= DATE '2001-01-01'")
+@query(V.with_sql(V.CAPTURES, _COVER) + "SELECT capture_date AS date, round(coverage, 5) AS coverage FROM shares")
 def polygon_coverage(spark, sf_dir):
     area = Y.to_wkb([Y.box(AOI.west, AOI.south, AOI.east, AOI.north)])
-    own = V.captures(spark, sf_dir).where("capture_date >= date '2001-01-01'").where(tiles.in_range(AOI, G.MERCATOR, 17, F.col("tile_col"), F.col("tile_row")))
+    own = V.captures(spark, sf_dir).where(tiles.in_range(AOI, G.MERCATOR, 17, F.col("tile_col"), F.col("tile_row")))
     own = own.select("capture_date", "tile_col", "tile_row").distinct()
     b = G.bounds(G.MERCATOR, F.col("tile_col"), F.col("tile_row"), 17)
     geo = own.select("capture_date", polygons.box_wkb(b["west"], b["south"], b["east"], b["north"]).alias("geom"))
@@ -600,3 +625,5 @@ def schema_changes(spark, sf_dir):
     make = lambda rows: spark.createDataFrame([(f"{t}.{c}", k) for t, c, k in rows], "field string, kind string")
     old = make([("releases", "pos", "long"), ("releases", "title", "string"), ("tiles", "zoom", "int")])
     return catalogue.schema_changes(old, make([("releases", "pos", "int"), ("tiles", "zoom", "int"), ("tiles", "col", "long")]))
+
+from . import more_queries  # noqa: E402, F401  registers its queries

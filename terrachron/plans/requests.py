@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import archive as A
 from ..functions import geometry as Y
 from ..functions import grids as G
+from ..functions import values as X
 from ..functions.dates import as_date, check_match
-from ..operators import coverage, matching, mosaic, polygons
+from ..operators import coverage, matching, metadata, mosaic, polygons
 from ..operators import raster as R
 from ..operators import releases as Q
 from ..operators import tiles as grid_tiles
@@ -56,7 +57,7 @@ class Catalog:
     def _meta(self, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(None if v is None else str(v) for v in values.values())], ", ".join(f"{k} string" for k in values))
 
-    def availability(self, aoi: G.Box | bytes, zoom: int, min_date=None, max_date=None, max_tiles: int = grid_tiles.MAX_TILES) -> Answer:
+    def availability(self, aoi: G.Box | bytes, zoom: int, min_date=None, max_date=None, max_tiles: int = grid_tiles.MAX_TILES, max_footprints: int = 10_000) -> Answer:
         """Which capture dates exist over an area and what share of it each covers, newest first.
 
         A box takes the closed form; WKB takes polygon overlay. With footprints, every
@@ -65,7 +66,7 @@ class Catalog:
         G.check_zoom(self.provider, zoom)
         G.check_level(self.scheme, zoom)
         if self.footprints is not None:
-            return self._availability_by_footprint(aoi, zoom, min_date, max_date)
+            return self._availability_by_footprint(aoi, zoom, min_date, max_date, max_footprints)
         n = None
         if isinstance(aoi, G.Box):
             c0, c1, r0, r1 = aoi.tile_range(self.scheme, zoom)
@@ -84,7 +85,7 @@ class Catalog:
             df = shares.join(names, "capture_date").select(F.col("capture_date").alias("date"), F.col("area_fraction").alias("coverage"), (F.col("area_fraction") >= 1 - coverage.COMPLETE_TOLERANCE).alias("complete"), "providers", "geometry").orderBy(F.desc("date"))
         return Answer(df, self._meta(zoom=zoom, provider=self.provider, n_aoi_tiles=n, method="tiles"))
 
-    def _availability_by_footprint(self, aoi, zoom, min_date, max_date) -> Answer:
+    def _availability_by_footprint(self, aoi, zoom, min_date, max_date, max_footprints) -> Answer:
         own = coverage.in_bounds(self.footprints.where(F.col("zoom") == zoom), min_date, max_date)
         rel = self.releases.select("release_id", "release_date")
         if min_date is not None:  # a release can't show what was captured after it
@@ -92,6 +93,7 @@ class Catalog:
         listing = own.join(rel, "release_id")
         first = Q.earliest_per_date(listing.select("capture_date", "release_id", "release_date"))
         chosen = own.join(first.select("capture_date", "release_id"), ["capture_date", "release_id"], "left_semi")
+        Q.at_most(chosen.select("object_id"), max_footprints)
         keys = ["capture_date"]
         if isinstance(aoi, G.Box):
             left, top, right, bottom = mosaic._projected(aoi)
@@ -102,7 +104,10 @@ class Catalog:
             shares = polygons.clipped_union(_shaped(chosen), aoi, keys)
         there = [p for p, _ in coverage.PROVENANCE if p in chosen.columns]
         arrays = chosen.groupBy(*keys).agg(*[coverage.sorted_distinct(F.col(p)).alias(q) for p, q in coverage.PROVENANCE if p in there], F.min("release_id").alias("release_id"))
-        df = shares.join(arrays, keys).withColumn("complete", F.col("area_fraction") >= 1 - coverage.COMPLETE_TOLERANCE)
+        df = shares.join(arrays, keys)
+        if "title" in self.releases.columns:
+            df = df.join(metadata.titles_by_date(chosen, self.releases), keys)
+        df = df.withColumn("complete", F.col("area_fraction") >= 1 - coverage.COMPLETE_TOLERANCE)
         df = df.withColumnsRenamed({"capture_date": "date", "area_fraction": "coverage"}).orderBy(F.desc("date"))
         return Answer(df, self._meta(zoom=zoom, provider=self.provider, n_aoi_tiles=None, method="footprints"))
 
@@ -148,14 +153,18 @@ class Catalog:
             return want, own.join(F.broadcast(one.select("release_id")), "release_id").withColumn("rank", F.lit(1))
         return want, matching.ranked(own, date, match, ties=("key",))
 
-    def tiles(self, aoi, zoom: int, date=None, date_match: str = "closest", release_id: str | None = None, max_tiles: int = grid_tiles.MAX_TILES) -> DataFrame:
-        """Unchanged payloads of the best version of each tile, row by row; any tile without one is an error."""
+    def tiles(self, aoi, zoom: int, date=None, date_match: str = "closest", release_id: str | None = None, max_tiles: int = grid_tiles.MAX_TILES, include_metadata: bool = True) -> DataFrame:
+        """Unchanged payloads of the best version of each tile, row by row; any tile without one is an error.
+
+        Without ``include_metadata`` capture dates and sources are left null.
+        """
         want, ranked = self._candidates(aoi, zoom, date, date_match, release_id, max_tiles)
         best = matching.require_all(want, ranked.where("rank = 1").drop("rank"))
         got = attach(best, self.payloads).withColumnRenamed("body", "content")
         got = got.withColumn("info", R.inspect(F.col("content")))
         bad = F.raise_error(F.lit("a payload is missing or is no tile")).cast("boolean")
         got = got.where(F.when(R.is_tile(F.col("info")), F.lit(True)).otherwise(bad))
+        got = metadata.undated_if_not_asked(got, include_metadata)
         b = G.bounds(self.scheme, F.col("tile_col"), F.col("tile_row"), zoom)
         return got.select("*", "info.image_format", "info.media_type", F.struct(*[v.alias(k) for k, v in b.items()]).alias("bounds")).drop("info").orderBy("tile_row", "tile_col")
 
@@ -170,15 +179,20 @@ class Catalog:
         """The mosaic in blocks, from each tile's first version that can be decoded; tiles without one stay masked."""
         want, ranked = self._candidates(aoi, zoom, date, date_match, release_id, max_tiles)
         got = attach(ranked, self.payloads).withColumnRenamed("body", "content")
-        ok = R.is_tile(R.inspect(F.col("content")))
-        got = got.withColumn("ok", ok)
-        used = matching.first_usable(got, F.col("ok"))
+        used = R.first_decodable(got)
         x, y = G.pixel_origin(self.scheme, F.col("tile_col"), F.col("tile_row"), zoom)
         lit = [F.lit(v) for v in (aoi.west, aoi.south, aoi.east, aoi.north)]
         w = self.spark.range(1).select(*[v.alias(k) for k, v in G.pixel_window(self.scheme, *lit, zoom).items()]).first()
-        df = R.mosaic_blocks(used.select(x.alias("left"), y.alias("top"), "content"), (w.left, w.top, w.right, w.bottom), block)
+        placed = used.withColumn("left", x).withColumn("top", y)
+        df = R.mosaic_blocks(placed.select("left", "top", "content"), (w.left, w.top, w.right, w.bottom), block)
         missing = matching.missing_tiles(want, used)
-        meta = used.agg(F.count("*").alias("n_tiles"), F.count_if(F.col("capture_date").isNull()).alias("n_undated"), F.array_join(F.array_sort(F.collect_set(F.col("capture_date").cast("string"))), ",").alias("dates"))
+        inside = placed.where((F.col("left") < w.right) & (F.col("left") + G.TILE_PX > w.left) & (F.col("top") < w.bottom) & (F.col("top") + G.TILE_PX > w.top))
+        none = F.raise_error(F.lit(f"no imagery found over this area at zoom {zoom}")).cast("long")
+        dates = F.array_join(F.array_sort(F.collect_set(F.col("capture_date").cast("string"))), ",")
+        tags = [F.when(F.count("*") > 0, F.count("*")).otherwise(none).alias("n_tiles"), F.count_if(F.col("capture_date").isNull()).alias("n_undated"), dates.alias("dates")]
+        if "source" in inside.columns:
+            tags.append(X.sources_json(F.col("source")).alias("sources"))
+        meta = inside.agg(*tags)
         return Answer(df, meta.crossJoin(missing.agg(F.count("*").alias("n_missing"))))  # one row each
 
 

@@ -17,21 +17,25 @@ def releases(documents: DataFrame) -> DataFrame:
     """``pos, layer_id, release_id, release_date, title, template, matrix_set`` from ``documents(body string)``.
 
     ``body`` is a capabilities document. Layers without title, identifier or
-    address, without a date in the title, without the imagery mark in the
-    identifier's address, or without a whole number as id are left out. ``pos`` is the
-    document's order, the newest first, from 1.
+    address, without a date in the title, without the imagery mark in the address, or
+    whose address has no whole number after ``/MapServer/tile/`` are left out. ``pos`` is
+    the document's order, the newest first, from 1. A document that can't be read, or
+    has no contents, is an error when it runs, so that it is no empty catalogue.
     """
     plain = F.regexp_replace(F.col("body").cast("string"), r"(</?)\w+:", "$1")
     root = F.from_xml(plain, F.lit(_DOCUMENT), {"attributePrefix": "_"})
-    rows = documents.select(F.posexplode(root["Contents"]["Layer"]).alias("at", "x"))
+    bad = F.raise_error(F.lit("a capabilities document can't be read or has no contents")).cast("boolean")
+    whole = F.rlike(plain, F.lit(r"<Contents[\s/>]")) & F.rlike(plain, F.lit(r"</Capabilities>\s*$"))
+    read = documents.withColumn("root", root).where(F.when(F.coalesce(whole & F.col("root").isNotNull(), F.lit(False)), F.lit(True)).otherwise(bad))
+    rows = read.select(F.posexplode("root.Contents.Layer").alias("at", "x"))
     url = F.col("x.ResourceURL._template")
-    number = F.regexp_extract(url, r"/tile/(\d+)/", 1)
+    number = F.regexp_extract(url, r"/MapServer/tile/([^/]*)/", 1)
     day = F.regexp_extract("x.Title", r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")
     out = rows.select(
-        F.nullif(F.coalesce(F.when(number != "", number), F.regexp_extract(F.col("x.Identifier"), r"(\d+)$", 1)), F.lit("")).try_cast("int").alias("layer_id"),
-        F.col("x.Identifier").alias("release_id"),
+        F.when(F.rlike(number, F.lit(r"^\d+$")), number).try_cast("int").alias("layer_id"),
+        F.trim("x.Identifier").alias("release_id"),
         day.alias("release_date"),
-        F.col("x.Title").alias("title"),
+        F.trim("x.Title").alias("title"),
         url.alias("template"),
         F.coalesce(F.try_element_at("x.TileMatrixSetLink", F.lit(1))["TileMatrixSet"], F.lit(DEFAULT_MATRIX_SET)).alias("matrix_set"),
         "at",

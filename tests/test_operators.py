@@ -202,15 +202,18 @@ def test_packet_rows(spark):
 
 
 CAPS = """<Capabilities xmlns="http://a" xmlns:ows="http://b"><Contents>
-<Layer><ows:Title>World Imagery (Wayback 2020-02-03)</ows:Title><ows:Identifier>WB_2020_R01</ows:Identifier><ResourceURL template="http://x/World_Imagery/tile/20/{TileMatrixSet}"/><TileMatrixSetLink><TileMatrixSet>m</TileMatrixSet></TileMatrixSetLink></Layer>
-<Layer><ows:Title>No date</ows:Title><ows:Identifier>WB_X</ows:Identifier><ResourceURL template="http://x/World_Imagery/tile/21/"/></Layer>
-<Layer><ows:Title>World Imagery (Wayback 2019-02-03)</ows:Title><ows:Identifier>WB_2019_R01</ows:Identifier><ResourceURL template="http://x/World_Imagery/tile/10/"/></Layer>
+<Layer><ows:Title>World Imagery (Wayback 2020-02-03)</ows:Title><ows:Identifier>WB_2020_R01</ows:Identifier><ResourceURL template="http://x/World_Imagery/MapServer/tile/20/{TileMatrixSet}"/><TileMatrixSetLink><TileMatrixSet>m</TileMatrixSet></TileMatrixSetLink></Layer>
+<Layer><ows:Title>No date</ows:Title><ows:Identifier>WB_X</ows:Identifier><ResourceURL template="http://x/World_Imagery/MapServer/tile/21/"/></Layer>
+<Layer><ows:Title>World Imagery (Wayback 2019-02-03)</ows:Title><ows:Identifier>WB_2019_R01</ows:Identifier><ResourceURL template="http://x/World_Imagery/MapServer/tile/10/"/></Layer>
 </Contents></Capabilities>"""
 
 
 def test_capabilities_and_tilemaps(spark):
     got = catalogue.releases(spark.createDataFrame([(CAPS,)], "body string")).orderBy("pos").collect()
     assert [(r.pos, r.layer_id, r.release_id, str(r.release_date), r.matrix_set) for r in got] == [(1, 20, "WB_2020_R01", "2020-02-03", "m"), (2, 10, "WB_2019_R01", "2019-02-03", catalogue.DEFAULT_MATRIX_SET)]
+    for broken in (CAPS[:200], "<Capabilities></Capabilities>", "busy", None):
+        with pytest.raises(Exception, match="capabilities document"):
+            catalogue.releases(spark.createDataFrame([(broken,)], "body string")).collect()
     t = spark.createDataFrame([(1, '{"data":[1],"select":[7]}'), (2, '{"data":[0]}'), (3, "oops")], "id int, body string")
     assert [(r.has, r.sel) for r in catalogue.tilemaps(t).orderBy("id").collect()] == [(1, 7), (0, None), (0, None)]
 

@@ -52,6 +52,14 @@ def test_latency_and_unusable_answers_veto():
     assert K.observe(s, K.Observation(99, acceptable=False)).workers == 1
 
 
+def test_an_unusable_batch_steps_back_at_once():
+    s = settle({1: 10, 2: 20, 4: 40})
+    s = K.observe(s, K.Observation(40, acceptable=False))
+    assert s.workers == 2 and s.baseline == 0
+    s = K.observe(s, K.Observation(15))
+    assert s.workers == 2 and s.baseline == 15
+
+
 def test_backs_off_recovers_and_expires():
     s = settle({1: 10, 2: 20, 4: 40})
     for _ in range(3):
