@@ -610,3 +610,21 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
         once = kept.join(s, same, "left_semi").withColumn("t__", key).dropDuplicates(["doc_id", "t__"]).drop("t__")
         kept = kept.join(s, same, "left_anti").unionByName(once)
     return kept
+
+
+#: The same as ``jaccard_classes`` with its defaults, as SQL over ``documents``.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+k AS (SELECT doc_id, g, CAST(len(g) AS BIGINT) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(list_sort(g), chr(10))) END AS name FROM s),
+u AS (SELECT name, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS least FROM k WHERE name IS NOT NULL GROUP BY name),
+e AS (SELECT name, n, unnest(g) AS t FROM u),
+p AS (SELECT a.name AS x, b.name AS y, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS both_ FROM e a JOIN e b ON a.t = b.t AND a.name <> b.name GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * both_ >= 80 * (m + n - both_)),
+r(x, y) AS (SELECT name, name FROM u UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x AS name, min(u.least) AS component_id FROM r JOIN u ON r.y = u.name GROUP BY 1),
+h AS (SELECT x AS name, count(*) AS n_links FROM l GROUP BY 1)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.name IS NULL THEN k.doc_id ELSE c.component_id END AS component_id, CAST(coalesce(h.n_links, 0) AS BIGINT) AS n_links
+FROM k LEFT JOIN c ON k.name = c.name LEFT JOIN h ON k.name = h.name
+"""

@@ -46,7 +46,7 @@ def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", "set_id", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op5_source_mixing": mixing.MIX_SQL, "op9_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op10_url_filter": url_filter.JUDGE_SQL}
+SQL = {"op2_secret_scan": secret_scan.scan_sql(), "op7_ngram_jaccard_join": jaccard.JACCARD_SQL, "op5_source_mixing": mixing.MIX_SQL, "op9_benchmark_decontamination": decontaminate.CONTAMINATION_SQL, "op10_url_filter": url_filter.JUDGE_SQL}

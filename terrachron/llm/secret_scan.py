@@ -225,3 +225,32 @@ def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
         F.sha2(F.array_join(F.transform(ours, show), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", show), ",").alias("spans"),
     )
+
+
+def scan_sql(base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED) -> str:
+    """``digest(scan(documents))`` as SQL: every rule over every text, positions from the lengths between its matches.
+
+    That dialect has no lookbehind, so a rule that starts with one takes the character before it into a group.
+    """
+    behind, parts = r"(?<![A-Za-z0-9_-])", []
+    for rank, r in enumerate((*base, *added)):
+        rx, head = r.regex.replace("'", "''"), "''"
+        group = r.group
+        if rx.startswith(behind):
+            rx, group = "(^|[^A-Za-z0-9_-])(" + rx[len(behind) :] + ")", 2
+            head = "heads[i]"
+        parts.append(
+            f"""SELECT rid, CAST(coalesce(list_sum([length(x) FOR x IN between_[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN whole[1:i - 1]]), 0) AS BIGINT) + length({head}) AS a,
+  length(whole[i]) - length({head}) AS n, {rank} AS rank, '{r.kind}' AS kind
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{rx}') AS between_, regexp_extract_all(t, '{rx}') AS whole,
+    regexp_extract_all(t, '{rx}', {group}) AS part, regexp_extract_all(t, '{rx}', 1) AS heads FROM d) m) q WHERE length(part[i]) >= {r.least}"""
+            if "(" in rx
+            else f"""SELECT rid, CAST(coalesce(list_sum([length(x) FOR x IN between_[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN whole[1:i - 1]]), 0) AS BIGINT) AS a, length(whole[i]) AS n, {rank} AS rank, '{r.kind}' AS kind
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{rx}') AS between_, regexp_extract_all(t, '{rx}') AS whole FROM d) m) q WHERE length(whole[i]) >= {r.least}"""
+        )
+    show = "kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(a + n AS VARCHAR)"
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{r.kind}" for i, r in enumerate(base))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT rid, {counts}, string_agg({show}, ',' ORDER BY a, rank) FILTER (rank < {len(base)}) AS ours, string_agg({show}, ',' ORDER BY a, rank) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(g.n_{r.kind}, 0) AS n_{r.kind}" for r in base)}, sha256(coalesce(g.ours, '')) AS base_sha256, coalesce(g.spans, '') AS spans FROM d LEFT JOIN g ON d.rid = g.rid"""
