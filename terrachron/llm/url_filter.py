@@ -2,6 +2,7 @@
 
 Strict terms reject on one hit, soft terms when several distinct ones hit. A hit
 counts only between boundaries: the characters beside it are not ASCII letters or digits.
+The built-in vocabulary is a small one; ``vocabulary`` reads another from a table of terms.
 """
 
 from __future__ import annotations
@@ -17,8 +18,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Rules as (verdict, host, path), and the vocabulary.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "coupon", "deal", "deals", "farm", "free", "jackpot", "loan", "loans", "pill", "pills", "poker", "promo", "sexy", "slots", "track", "tracker", "win", "x")
+STRICT = (
+    "adult", "bdsm", "betting", "bookmaker", "camgirl", "camgirls", "casino", "cialis", "crackz", "escort", "escorts", "fetish", "gambling", "hardcore", "hentai", "hookup", "keygen", "malware", "milf",
+    "nude", "nudes", "payday", "phishing", "porn", "porno", "roulette", "sexcam", "sexcams", "spam", "spyware", "tramadol", "viagra", "warez", "webcamsex", "xanax", "xxx",
+)
+SOFT = (
+    "ads", "bet", "bets", "bingo", "bonus", "cams", "cash", "cheap", "clickbait", "clicks", "coupon", "coupons", "crack", "cracked", "credit", "dating", "deal", "deals", "debt", "diet", "discount", "doubleclick",
+    "earn", "farm", "forex", "free", "giveaway", "horny", "hot", "jackpot", "keno", "lotto", "loan", "loans", "lottery", "meds", "mp3", "naked", "odds", "pharma", "pharmacy", "pill", "pills", "poker", "popup",
+    "prize", "promo", "replica", "rx", "serial", "sex", "sexy", "singles", "slot", "slots", "sweepstakes", "torrent", "torrents", "track", "tracker", "tracking", "unlimited", "viral", "wager", "weightloss", "win", "winner",
+)
 SOFT_HITS = 2
 
 
@@ -65,6 +73,19 @@ def vocabulary_hits(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT):
     return F.pandas_udf(hits, "strict long, soft long")
 
 
+#: Terms that a vocabulary may have: it is broadcast with the automaton.
+MOST_TERMS = 200_000
+
+
+def vocabulary(terms: DataFrame) -> tuple[list[str], list[str]]:
+    """The strict and the soft terms of ``terms(term, weight)``, A-Z lower-cased; a weight of 2 or more is strict, one under 1 is none."""
+    low = F.translate("term", UPPER, LOWER)
+    best = terms.where("term is not null and term <> '' and weight >= 1").groupBy(low.alias("term")).agg(F.max("weight").alias("weight")).limit(MOST_TERMS + 1).collect()
+    if len(best) > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    return sorted(r.term for r in best if r.weight >= 2), sorted(r.term for r in best if r.weight < 2)
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
     """``page_id, host, path, rule, verdict, n_strict, n_soft`` for every row of ``pages(page_id, url)``.
 

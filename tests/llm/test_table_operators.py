@@ -430,6 +430,31 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert url_filter.judge(df.where("false")).count() == 0
 
 
+def test_vocabulary_of_a_table(spark):
+    """Terms come from a table; a weight of 2 is strict, repeats and blanks count once or not at all."""
+    terms = spark.createDataFrame([("Bad", 2.0), ("bad", 1.0), ("iffy", 1.0), ("odd", 1.5), ("none", 0.5), ("", 2.0), (None, 2.0), ("odd", 1.0)], "term string, weight double")
+    strict, soft = url_filter.vocabulary(terms)
+    assert (strict, soft) == (["bad"], ["iffy", "odd"])
+    pages = spark.createDataFrame([(1, "http://a.bad.com/"), (2, "http://iffy.com/iffy"), (3, "http://iffy.com/odd"), (4, "http://badly.com/")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in url_filter.judge(pages, strict=strict, soft=soft).collect()}
+    assert got == {1: ("block", 1, 0), 2: ("allow", 0, 1), 3: ("block", 0, 2), 4: ("allow", 0, 0)}
+
+
+def test_jaccard_with_boilerplate(spark):
+    """A passage that 20,000 unlike texts share makes no pairs of them, and the near copies among them are found."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(f"license{i}" for i in range(12))
+    rows = [(i, " ".join(rng.choices(words, k=20)) + " " + passage) for i in range(20_000)]
+    for i in range(0, 300, 3):
+        near = rows[i][1].split()
+        near[0] = "edited"
+        rows.append((100_000 + i, " ".join(near)))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[100_000 + i] == (i, 1) and got[i] == (i, 1) for i in range(0, 300, 3))
+    assert sum(n for _, n in got.values()) == 200 and len({c for c, _ in got.values()}) == 20_000
+
+
 # -- pipeline --------------------------------------------------------------------------
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
