@@ -15,13 +15,18 @@ from ..sources.dbroot import read_packet
 def reachable(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """``tiles(path, ...)`` whose packets all exist: every packet on the way down has an epoch.
 
-    ``nodes(path, cache_node_epoch)`` has the node above each packet. All prefixes of
-    a path are joined at once instead of level by level.
+    ``nodes(path, cache_node_epoch)`` has the node above each packet. Depth by depth the
+    tiles are joined with the nodes of that depth, of which the upper ones are few: the
+    rows are never multiplied and never brought together by a short prefix.
     """
-    hops = tiles.select("path", F.explode_outer(G.index_paths(F.col("path"))).alias("hop"))
-    known = nodes.select(F.col("path").alias("hop"), F.coalesce("cache_node_epoch", F.lit(0)).alias("epoch"))
-    ok = hops.join(known, "hop", "left").groupBy("path").agg(F.bool_and(F.col("hop").isNull() | (F.coalesce("epoch", F.lit(0)) != 0)).alias("ok"))
-    return tiles.join(ok.where("ok").select("path"), "path", "left_semi")
+    deepest = tiles.agg(F.max(F.length("path"))).first()[0] or 0
+    known = nodes.where("cache_node_epoch <> 0").select("path").distinct()
+    for depth in range(4, deepest, 4):
+        here = known.where(F.length("path") == depth).select(F.col("path").alias("hop__"))
+        hop = F.when(F.length("path") > depth, F.left("path", F.lit(depth)))
+        out = tiles.withColumn("key__", hop).join(here, F.col("key__") == F.col("hop__"), "left")
+        tiles = out.where("key__ is null or hop__ is not null").drop("key__", "hop__")
+    return tiles
 
 
 def dated_versions(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
