@@ -1,7 +1,7 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Every benchmark item is cut into windows of ten words. A window's rarest terms, in the
-benchmark, are its anchors; the index holds the positions of the anchor terms in the
+Every benchmark item is cut into windows of ten words. A window's rarest terms, over all
+documents, are its anchors; the index holds the positions of the anchor terms in the
 documents. Shifting a posting back by the anchor's place in the item gives the alignment
 of the item in the document. Lists are intersected from the rarest anchor: an alignment
 that has all anchors of some window is a candidate for an exact phrase, and the words
@@ -23,35 +23,43 @@ from pyspark.sql.window import Window
 from .common import small, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before A-Z are lower-cased.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same before or after A-Z are lower-cased, its members spelled out: the engine looks single
+#: characters up in a table but tries ranges one by one, which takes some fifteen times as long.
+ANY_CASE = rf"[0123456789{UPPER}{LOWER}\x80-\x{{10FFFF}}]+"
 WINDOW, ANCHORS = 10, 2
 #: Proximity: distinct anchors of an item, on alignments in one stretch of ``2 * STEP``, a stretch every ``STEP``.
 NEAR, STEP = 4, 4
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z (and nothing else) lower-cased; null has none."""
     text = F.coalesce(text, F.lit(""))
     low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(low, F.lit(ANY_CASE), F.lit(0))
 
 
 def _terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings ``(text_key, pos, term)`` of ``terms(term)`` in ``docs``."""
-    rows = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return rows.join(terms, "term")
+    """Postings ``(text_key, pos, term)`` of ``terms(term)`` in ``docs``.
+
+    A text of ASCII alone is lower-cased whole, any other word by word, where most words are ASCII again.
+    """
+    text = F.coalesce("text", F.lit(""))
+    plain = lambda c: F.length(c) == F.octet_length(c)
+    cut = F.regexp_extract_all(F.when(plain(text), F.lower(text)).otherwise(text), F.lit(ANY_CASE), F.lit(0))
+    rows = docs.select(F.xxhash64("text").alias("text_key"), F.posexplode(cut).alias("pos", "as_is"))
+    low = F.when(plain(F.col("as_is")), F.lower("as_is")).otherwise(F.translate("as_is", UPPER, LOWER))
+    return rows.select("text_key", "pos", low.alias("term")).join(terms, "term")
 
 
-def anchors(items: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, start, q, term``: the anchors of each window of ``items(item_id, w)``: its terms that
-    have the fewest places in the items, the longer and then the earlier first."""
+    have the fewest places in ``docs``, the longer and then the earlier first."""
     place = stored(items.select("item_id", "w", F.posexplode("w").alias("q", "term")))
-    rarity = place.groupBy("term").agg(F.count("*").alias("n"))
+    rarity = _terms(docs, small(stored(place.select("term").distinct()))).groupBy("term").agg(F.count("*").alias("n"))
     m, k = F.size("w"), F.least(F.lit(window), F.size("w"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("q") - k + 1), F.least(F.col("q"), m - k))
-    rows = place.join(rarity, "term").select("item_id", "q", "term", "n", F.explode(starts).alias("start"))
+    rows = place.join(rarity, "term", "left").select("item_id", "q", "term", F.coalesce("n", F.lit(0)).alias("n"), F.explode(starts).alias("start"))
     order = Window.partitionBy("item_id", "start").orderBy("n", F.desc(F.length("term")), "q")
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ANCHORS).select("item_id", "start", "q", "term")
 
@@ -60,7 +68,7 @@ def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple
     """Candidates ``(text_key, item_id, shift)``: item word i would be document word shift + i; and the
     proximity matches ``(text_key, item_id)``: texts with ``NEAR`` or more distinct anchors of an item on
     alignments within one stretch."""
-    marks = stored(anchors(items, window))
+    marks = stored(anchors(docs, items, window))
     index = stored(_terms(docs, small(stored(marks.select("term").distinct()))))
     places = small(stored(marks.select("item_id", "term", "q").distinct()))
     lists = stored(index.join(places, "term").groupBy("text_key", "item_id", (F.col("pos") - F.col("q")).alias("shift")).agg(F.collect_set("q").alias("qs")))
@@ -139,15 +147,15 @@ dw AS (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM dx),
 h AS (SELECT dw.rid, dw.k, dw.i, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
 p AS (SELECT DISTINCT rid, unnest(range(i, i + k)) AS at FROM h),
 n AS (SELECT rid, count(*) AS n_hit FROM p GROUP BY rid),
--- proximity: two anchors a window, the terms with the fewest places in the items
+-- proximity: two anchors a window, the terms with the fewest places in the documents
 it AS (SELECT DISTINCT item_id, w, k FROM bi),
 nm AS (SELECT item_id, w, k, row_number() OVER () AS item FROM it),
 pl AS (SELECT item, k, len(w) AS m, unnest(w) AS term, unnest(range(len(w))) AS q FROM nm),
-ra AS (SELECT term, count(*) AS n FROM pl GROUP BY term),
+dp AS (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+ra AS (SELECT t.term, count(dp.rid) AS n FROM (SELECT DISTINCT term FROM pl) t LEFT JOIN dp ON t.term = dp.term GROUP BY 1),
 ps AS (SELECT item, q, term, unnest(range(greatest(0, q - k + 1), least(q, m - k) + 1)) AS start FROM pl),
 rk AS (SELECT ps.item, ps.q, ps.term, row_number() OVER (PARTITION BY ps.item, ps.start ORDER BY ra.n, length(ps.term) DESC, ps.q) AS r FROM ps JOIN ra ON ps.term = ra.term),
 mk AS (SELECT DISTINCT item, term, q FROM rk WHERE r <= {ANCHORS}),
-dp AS (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
 sh AS (SELECT DISTINCT dp.rid, mk.item, mk.q, CAST(floor((dp.pos - mk.q) / {STEP}.0) AS BIGINT) AS s FROM dp JOIN mk ON dp.term = mk.term),
 st AS (SELECT rid, item, q, unnest([s - 1, s]) AS s FROM sh),
 nr AS (SELECT rid, item FROM st GROUP BY rid, item, s HAVING count(DISTINCT q) >= {NEAR}),

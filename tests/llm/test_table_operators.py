@@ -370,8 +370,7 @@ def test_contamination_of_nothing(spark):
 def near_by_hand(docs, items):
     """Items of which a text has enough anchors on alignments of one stretch."""
     split = {i: [w for w in re.findall(decontaminate.WORD, (t or "").lower()) if w] for i, t in items}
-    n = Counter(w for ws in split.values() for w in ws)
-    out = {}
+    n, out = Counter(w for _, t in docs for w in re.findall(decontaminate.WORD, (t or "").lower())), {}
     for d, t in docs:
         own, found = re.findall(decontaminate.WORD, (t or "").lower()), set()
         for i, ws in split.items():
