@@ -7,6 +7,7 @@ so that no query reads what its own module wrote.
 from __future__ import annotations
 
 import base64
+import math
 import re
 
 import pandas as pd
@@ -23,7 +24,8 @@ from ..sources import catalogue
 from ..sources.payloads import attach
 from ..streaming import controller
 from . import views as V
-from .queries import AOI, query
+from .queries import _M, AOI, MOSAIC_AOI, _LAT_Y, query
+from .requests import Catalog
 
 _R9 = "round({0}, 9)"
 
@@ -357,3 +359,78 @@ def request_widths(spark, sf_dir):
         s = controller.observe(s, o, float(i))
         rows.append((i, s.workers, s.settled))
     return spark.createDataFrame(rows, "step int, workers int, settled boolean")
+
+
+# -- composed requests ---------------------------------------------------------------
+@query(V.with_sql(V.CAPTURES, V.RELEASES, V.FOOTPRINTS, _LISTED.replace("FROM footprints f", "FROM (SELECT * FROM footprints WHERE zoom = 17 AND capture_date BETWEEN DATE '1995-02-01' AND DATE '1997-06-01') f")) + f""", q AS (
+  SELECT f.capture_date AS g, f.release_id, greatest((west + 180.0) / 360.0, {_M[0]!r}::DOUBLE) AS x0, greatest({_LAT_Y.format('north')}, {_M[1]!r}::DOUBLE) AS y0,
+  least((east + 180.0) / 360.0, {_M[2]!r}::DOUBLE) AS x1, least({_LAT_Y.format('south')}, {_M[3]!r}::DOUBLE) AS y1 FROM listed f JOIN first USING (capture_date, release_id)),
+b AS (SELECT * FROM q WHERE x0 <= x1 AND y0 <= y1),
+ys AS (SELECT g, y, lead(y) OVER (PARTITION BY g ORDER BY y) AS y2 FROM (SELECT g, y0 AS y FROM b UNION SELECT g, y1 FROM b) u),
+xs AS (SELECT g, x, lead(x) OVER (PARTITION BY g ORDER BY x) AS x2 FROM (SELECT g, x0 AS x FROM b UNION SELECT g, x1 FROM b) u),
+cell AS (SELECT ys.g, (y2 - y) * (x2 - x) AS a FROM ys JOIN xs ON ys.g = xs.g WHERE y2 IS NOT NULL AND x2 IS NOT NULL
+  AND EXISTS (SELECT 1 FROM b WHERE b.g = ys.g AND b.x0 <= x AND b.x1 >= x2 AND b.y0 <= y AND b.y1 >= y2)),
+area AS (SELECT g, sum(a) AS a FROM cell GROUP BY 1)
+SELECT area.g AS date, round(area.a / {(_M[2] - _M[0]) * (_M[3] - _M[1])!r}::DOUBLE, 6) AS coverage, t.titles FROM area
+JOIN (SELECT g, string_agg(DISTINCT {_TITLED}, ', ' ORDER BY {_TITLED}) AS titles FROM q GROUP BY 1) t ON t.g = area.g""")
+def availability_by_footprint(spark, sf_dir):
+    """Each date from the earliest release that lists it, with that release's title."""
+    r = V.releases(spark, sf_dir).withColumn("title", F.concat(F.lit("Wayback "), F.substring("release_id", 4, 4)))
+    catalog = Catalog(spark, "esri", releases=r, footprints=V.footprints(spark, sf_dir))
+    answer = catalog.availability(MOSAIC_AOI, 17, "1995-02-01", "1997-06-01", max_footprints=10**9)
+    return answer.df.select("date", _r("coverage", 6).alias("coverage"), "titles")
+
+
+#: Three by two tiles of the demonstrations' area.
+_BLOCK = (20975, 20977, 50652, 50653)
+
+
+def _block():
+    inner = 0.25
+    west, east = ((c + d) / (1 << 17) * 360 - 180 for c, d in ((_BLOCK[0], inner), (_BLOCK[1], 1 - inner)))
+    lat = lambda y: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / (1 << 17)))))
+    return G.Box(west, lat(_BLOCK[3] + 1 - inner), east, lat(_BLOCK[2] + inner))
+
+
+_BEST = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_col, tile_row ORDER BY capture_date IS NULL, abs(date_diff('day', DATE '1998-02-15', capture_date)), capture_date, CAST(source_id AS VARCHAR)) AS rk
+  FROM tile_versions WHERE tile_col BETWEEN {_BLOCK[0]} AND {_BLOCK[1]} AND tile_row BETWEEN {_BLOCK[2]} AND {_BLOCK[3]} AND {{0}}) q WHERE rk = 1)"""
+
+
+def _catalog(spark, sf_dir):
+    """Versions with a payload for each source: a tile, or for every fourth source one that is cut short."""
+    tile = F.lit(base64.b64decode(_TILE))
+    versions = V.tile_versions(spark, sf_dir).withColumn("key", F.col("source_id").cast("string")).withColumn("provider", F.lit("p"))
+    whole = V.sources(spark, sf_dir).select(F.col("source_id").cast("string").alias("key"), F.when(F.col("source_id") % 4 == 0, F.substring(tile, 1, 400)).otherwise(tile).alias("body"))
+    return Catalog(spark, "esri", versions=versions, payloads=whole)
+
+
+@query(V.with_sql(V.CAPTURES, V.TILE_VERSIONS, _BEST.format("source_id % 4 <> 0")) + "SELECT tile_col, tile_row, CAST(source_id AS VARCHAR) AS key, 'jpeg' AS image_format, 'image/jpeg' AS media_type, CAST(NULL AS DATE) AS capture_date FROM best")
+def download_tiles(spark, sf_dir):
+    """Payload rows of an area without their metadata."""
+    c = _catalog(spark, sf_dir)
+    good = Catalog(spark, "esri", versions=c.versions.where("source_id % 4 <> 0"), payloads=c.payloads)
+    return good.tiles(_block(), 17, "1998-02-15", include_metadata=False).select("tile_col", "tile_row", "key", "image_format", "media_type", "capture_date")
+
+
+@query(V.with_sql(V.CAPTURES, V.TILE_VERSIONS, _BEST.format("source_id % 4 <> 0")) + f"""SELECT count(*) AS n_tiles, count(*) FILTER (capture_date IS NULL) AS n_undated,
+  coalesce(string_agg(DISTINCT CAST(capture_date AS VARCHAR), ',' ORDER BY CAST(capture_date AS VARCHAR)), '') AS dates, {(_BLOCK[1] - _BLOCK[0] + 1) * (_BLOCK[3] - _BLOCK[2] + 1)} - count(*) AS n_missing FROM best""")
+def raster_tags(spark, sf_dir):
+    """The same area as a raster: payloads that are cut short give way to the next candidate."""
+    return _catalog(spark, sf_dir).raster(_block(), 17, "1998-02-15").meta
+
+
+@query(f"""SELECT x AS block_x, y AS block_y, CAST(least(128, 640 - x * 128) AS INT) AS width, CAST(least(128, 384 - y * 128) AS INT) AS height, 90 AS red, 120 AS green, 60 AS blue, 255 AS seen
+FROM (SELECT CAST(unnest(range(0, 5)) AS INT) AS x) a, (SELECT CAST(unnest(range(0, 3)) AS INT) AS y) b""")
+def raster_blocks(spark, sf_dir):
+    """Blocks of the mosaic; every pixel is of the one colour that all tiles have."""
+    df = _catalog(spark, sf_dir).raster(_block(), 17, "1998-02-15", block=128).df
+
+    @F.pandas_udf("red int, green int, blue int, seen int")
+    def one(pixels: pd.Series, mask: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, m in zip(pixels, mask):
+            px = {bytes(p)[i : i + 3] for i in range(0, len(p), 3)}
+            out.append((*(next(iter(px)) if len(px) == 1 else (-1, -1, -1)), min(m)))
+        return pd.DataFrame(out, columns=["red", "green", "blue", "seen"])
+
+    return df.select("block_x", "block_y", "width", "height", one("pixels", "mask").alias("x")).select("block_x", "block_y", "width", "height", "x.*")

@@ -77,7 +77,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in degrees of each (release, zoom, object), from integer micro-degrees."""
-    c = captures(spark, sf_dir).where("part_no <= 2")
+    c = captures(spark, sf_dir)
     r = releases(spark, sf_dir)
     x = F.col("object_id") * 7919 % 40000
     y = F.col("object_id") * 104729 % 20000
@@ -87,7 +87,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "south": (F.lit(37780000) + y) / F.lit(1e6),
         "north": (F.lit(37780000) + y + 1500 + F.col("source_id") % 5 * 400) / F.lit(1e6),
     }
-    c = c.select("object_id", "source_id", "capture_date", (16 + F.col("part_no")).cast("int").alias("zoom"), *[v.alias(k) for k, v in box.items()]).distinct()
+    c = c.select("object_id", "source_id", "capture_date", (17 + F.col("part_no") % 2).cast("int").alias("zoom"), *[v.alias(k) for k, v in box.items()]).distinct()
     return c.join(F.broadcast(r), c.capture_date == F.add_months(r.release_date, -1)).select("release_id", "object_id", "source_id", "zoom", "capture_date", "west", "south", "east", "north")
 
 
@@ -119,11 +119,11 @@ tilemaps AS (SELECT CAST(pos AS INT) AS pos, tile_col, tile_row, CASE WHEN nxt I
 POINTS = """points AS (SELECT DISTINCT l_orderkey, l_linenumber, ((l_orderkey * 7919) % 360000) / 1000.0::DOUBLE - 180.0::DOUBLE AS lon,
   ((l_partkey * 104729 + l_linenumber * 31) % 170000) / 1000.0::DOUBLE - 85.0::DOUBLE AS lat FROM lineitem)"""
 
-FOOTPRINTS = """boxes AS (SELECT DISTINCT object_id, source_id, capture_date, CAST(16 + part_no AS INT) AS zoom,
+FOOTPRINTS = """boxes AS (SELECT DISTINCT object_id, source_id, capture_date, CAST(17 + part_no % 2 AS INT) AS zoom,
   (-122420000 + object_id * 7919 % 40000) / 1e6::DOUBLE AS west,
   (-122420000 + object_id * 7919 % 40000 + 2000 + source_id % 7 * 500) / 1e6::DOUBLE AS east,
   (37780000 + object_id * 104729 % 20000) / 1e6::DOUBLE AS south,
-  (37780000 + object_id * 104729 % 20000 + 1500 + source_id % 5 * 400) / 1e6::DOUBLE AS north FROM captures WHERE part_no <= 2),
+  (37780000 + object_id * 104729 % 20000 + 1500 + source_id % 5 * 400) / 1e6::DOUBLE AS north FROM captures),
 footprints AS (SELECT r.release_id, b.object_id, b.source_id, b.zoom, b.capture_date, b.west, b.south, b.east, b.north
   FROM boxes b JOIN releases r ON b.capture_date = CAST(r.release_date - INTERVAL 1 MONTH AS DATE))"""
 
