@@ -22,6 +22,7 @@ from ..operators import raster as R
 from ..operators import releases as Q
 from ..operators import tiles as grid_tiles
 from ..sources.archive import write_archive
+from ..sources.geotiff import write_geotiff
 from ..sources.payloads import attach
 
 
@@ -195,6 +196,23 @@ class Catalog:
         meta = inside.agg(*tags)
         return Answer(df, meta.crossJoin(missing.agg(F.count("*").alias("n_missing"))))  # one row each
 
+    def geotiff(self, aoi: G.Box, zoom: int, output: str, date=None, date_match: str = "closest", release_id: str | None = None, block: int = 1024, overwrite: bool = False, **choice) -> int:
+        """The mosaic as a georeferenced file with a mask, and tags that say what it was made of."""
+        answer = self.raster(aoi, zoom, date, date_match, release_id, block=block, **choice)
+        meta = answer.meta.first().asDict()
+        lit = [F.lit(v) for v in (aoi.west, aoi.south, aoi.east, aoi.north)]
+        w = self.spark.range(1).select(*[v.alias(k) for k, v in G.pixel_window(self.scheme, *lit, zoom).items()]).first()
+        a = self.spark.range(1).select(F.array(*G.affine(self.scheme, F.lit(w.left), F.lit(w.top), zoom)).alias("a")).first().a
+        tags = {"dates": meta["dates"], "zoom": zoom, "provider": self.provider, "tiles_total": meta["n_tiles"] + meta["n_missing"], "tiles_missing": meta["n_missing"], "tiles_capture_date_unknown": meta["n_undated"]}
+        if release_id is not None:
+            tags |= {"selection_mode": "release", "release_id": release_id}
+        else:
+            tags |= {"selection_mode": "capture-date", "target_date": as_date(date).isoformat(), "date_match": date_match}
+        if meta.get("sources"):
+            tags["sources"] = meta["sources"]
+        epsg = 4326 if self.scheme == G.KEYHOLE else 3857
+        return write_geotiff(answer.df, output, (w.right - w.left, w.bottom - w.top), block, (a[2], a[5]), a[0], epsg, tags, overwrite)
+
 
 def _shaped(footprints: DataFrame) -> DataFrame:
     """Footprints with ``geom``: their own, or else their box."""

@@ -77,3 +77,35 @@ def test_halving_is_even():
     px = np.random.default_rng(1).integers(0, 256, (64, 64, 3)).astype(np.uint8)
     assert np.abs(R.halve(px[::-1, ::-1]).astype(int) - R.halve(px)[::-1, ::-1]).max() <= 1
     assert (R.halve(np.full((8, 8, 3), 77, np.uint8)) == 77).all()
+
+
+@pytest.mark.parametrize("provider,zoom", [("esri", 17), ("google", 17)])
+def test_geotiff_is_read_by_another_reader(spark, image_io, tmp_path, provider, zoom):
+    encode, _ = image_io
+    lit = __import__("pyspark").sql.functions.lit
+    scheme = G.PROVIDER_SCHEME[provider]
+    col, row = 20975, 50653 if scheme == G.MERCATOR else 79000
+    colours = {0: (90, 120, 60), 1: (30, 160, 220)}
+    payloads = spark.createDataFrame([(str(k), bytearray(encode(np.full((256, 256, 3), c, np.uint8)))) for k, c in colours.items()], "key string, body binary")
+    versions = spark.createDataFrame([(col + k, row, zoom, "p", str(k)) for k in colours], "tile_col int, tile_row int, zoom int, provider string, key string").selectExpr("*", "date'2001-01-01' as capture_date")
+    b = spark.range(1).select(*[v.alias(k) for k, v in G.bounds(scheme, lit(col), lit(row), zoom).items()]).first()
+    w = b.east - b.west
+    box = G.Box(b.west + w / 4, b.south + (b.north - b.south) / 4, b.east + w * 1.5, b.north - (b.north - b.south) / 4)
+    catalog, path = Catalog(spark, provider, versions=versions, payloads=payloads), tmp_path / "mosaic.tif"
+    assert catalog.geotiff(box, zoom, str(path), "2001-01-01", block=64) == 7 * 2
+    data = path.read_bytes()
+    assert b"<Item name=\"dates\">2001-01-01</Item>" in data and b"tiles_missing\">1<" in data
+    jvm = spark._jvm
+    reader = jvm.javax.imageio.ImageIO.getImageReadersByFormatName("tiff").next()
+    reader.setInput(jvm.javax.imageio.ImageIO.createImageInputStream(jvm.java.io.File(str(path))))
+    assert reader.getNumImages(True) == 2
+    image, mask = reader.read(0), reader.read(1)
+    assert (image.getWidth(), image.getHeight()) == (192 + 256 + 128, 128) == (mask.getWidth(), mask.getHeight())
+    at = lambda x: tuple(image.getRGB(x, 5) >> s & 255 for s in (16, 8, 0))
+    seen = lambda x: mask.getRaster().getSample(x, 5, 0)
+    assert at(3) == colours[0] and at(191) == colours[0] and at(192) == colours[1] and at(447) == colours[1]
+    assert [seen(x) for x in (0, 191, 447, 448, 575)] == [1, 1, 1, 0, 0]
+    scale = np.frombuffer(data, np.float64, 3, data.index(np.float64(G.EQUATOR_METRES / (256 << zoom) if scheme == G.MERCATOR else 360 / (256 << zoom)).tobytes()))
+    assert scale[0] == scale[1] and scale[2] == 0
+    with pytest.raises(FileExistsError):
+        catalog.geotiff(box, zoom, str(path), "2001-01-01", block=64)
