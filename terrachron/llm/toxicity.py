@@ -13,7 +13,7 @@ both classes. D is Kneser-Ney's constant discount. K r is added: r is the part o
 class's documents with the expression that the rate of such documents in the corpus,
 or in the other class, explains. Without it the log-likelihoods of long documents are
 ruled by how languages and subjects happen to be spread over two samples: with D alone
-an AUC of 0.64 to 0.83 on held-out rows was the best (README). So rare expressions, and
+the AUC on held-out rows was 0.83 at best (README). So rare expressions, and
 those no commoner in a class than elsewhere, fall back on the shared counts and say nothing.
 
 A document's score is the calibrated mean of log p_toxic - log p_ordinary a word.
