@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, jaccard, mixing, pii, quality, secret_scan, sharding, toxicity, url_filter
-from .common import stored, table
+from .common import table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stored(sharding.with_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    return sharding.assign(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    rows = sharding.assign(sharding.with_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    layout = sharding.rewrite(spark, rows, sharding.scratch_root(spark))
+    # sizes and checksums are those of the texts in the files
+    there = sharding.with_bytes(sharding.read_layout(spark, rows, layout))
+    return there.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, stored
+from .common import WRITING, settings, shared_dir, stored
 
 OLD, NEW, BLOCKS, ROW_BYTES = 16, 24, 1024, 8
 #: Rows over this part of a shard's capacity come first in their old shard, largest first,
@@ -138,24 +138,43 @@ def assign(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     return out.select(*docs.columns, "old_shard", "shard", (F.col("first") + F.col("row")).alias("slot"))
 
 
+#: Rows of one file that ``rewrite`` writes, about.
+FILE_ROWS = 50_000
+
+
 def rewrite(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
     """Writes the shards that change and says where every shard's files are.
 
     ``rows`` are assigned rows with all columns to keep. A new shard whose rows are
     exactly an old shard's keeps its files (``path`` null); every other is written
     under ``root`` in a folder of this call, so readers of the old layout are not
-    disturbed. Gives ``shard, rows, moved_bytes, path``.
+    disturbed, in files of some ``FILE_ROWS`` rows by slot. Gives ``shard, rows,
+    moved_bytes, path``, one row a shard.
     """
     moved = F.sum(F.when(F.col("old_shard") != F.col("shard"), F.col("size")).otherwise(0))
     inward = rows.groupBy("shard").agg(F.count("*").alias("rows"), moved.alias("moved_bytes"))
     outward = rows.where("old_shard <> shard").select(F.col("old_shard").alias("shard")).distinct().withColumn("gave", F.lit(True))
-    state = inward.join(outward, "shard", "left")
+    state = stored(inward.join(outward, "shard", "left"))
     changed = state.where("moved_bytes > 0 or gave").select("shard")
     path = f"{root.rstrip('/')}/layout-{uuid.uuid4().hex}"
-    rows.join(F.broadcast(changed), "shard").repartition("shard", "old_shard").write.partitionBy("shard").parquet(path)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.join(F.broadcast(changed), "shard").repartition(n, "shard", F.floor(F.col("slot") / FILE_ROWS))  # at most ``new`` rows
+    with settings(spark, WRITING):
+        dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     where = F.when((F.col("moved_bytes") > 0) | F.col("gave"), F.concat(F.lit(f"{path}/shard="), F.col("shard").cast("string")))
-    return state.select("shard", "rows", "moved_bytes", where.alias("path"))
+    return stored(state.select("shard", "rows", "moved_bytes", where.alias("path")))
+
+
+def read_layout(spark: SparkSession, rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """The rows of all shards as the layout has them: from the files written, and of kept shards from ``rows``."""
+    places = {r.shard: r.path for r in layout.collect()}  # one row a shard
+    written = sorted({p.rpartition("/shard=")[0] for p in places.values() if p})
+    kept = rows.where(F.col("shard").isin([s for s, p in places.items() if p is None]))
+    schema = rows.select(*[c for c in rows.columns if c != "shard"], "shard").schema
+    for path in written:
+        kept = kept.unionByName(spark.read.schema(schema).parquet(path))
+    return kept
 
 
 def scratch_root(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/layouts"
+    return f"{shared_dir(spark)}/layouts-{spark.sparkContext.applicationId}"

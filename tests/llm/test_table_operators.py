@@ -312,6 +312,20 @@ def test_rewrite_keeps_what_does_not_change(spark, tmp_path):
     assert all(r.path is None for r in sharding.rewrite(spark, still, str(tmp_path)).collect())
 
 
+def test_layout_is_read_whole(spark, tmp_path, monkeypatch):
+    """Files of a few rows each, and shards that keep theirs, give every row back with its text."""
+    monkeypatch.setattr(sharding, "FILE_ROWS", 7)
+    df = sharding.assign(sharding.with_bytes(spark.createDataFrame(shard_rows(), DOC))).withColumn("extra", F.lit("e"))
+    mixed = df.withColumn("shard", F.when(F.col("old_shard") < 4, F.col("old_shard")).when(F.col("shard") < 4, 4).otherwise(F.col("shard")))
+    for rows in (df, mixed):
+        layout = sharding.rewrite(spark, rows, str(tmp_path))
+        back = sharding.read_layout(spark, rows, layout)
+        assert sorted(map(str, back.select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    assert any(r.path is None for r in layout.collect()) and any(r.path for r in layout.collect())
+    none = df.where("false")
+    assert sharding.read_layout(spark, none, sharding.rewrite(spark, none, str(tmp_path))).count() == 0
+
+
 # -- 9 decontamination -----------------------------------------------------------------
 def words(t):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
