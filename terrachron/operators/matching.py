@@ -44,3 +44,8 @@ def require_all(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """``found``, or an error when it runs if a wanted tile has no row (the strict path)."""
     state = wanted.select(*TILE).distinct().join(found.withColumn("there__", F.lit(True)), list(TILE), "left")
     return state.where(F.when(F.col("there__"), F.lit(True)).otherwise(F.raise_error(F.lit("no version of a selected tile")).cast("boolean"))).drop("there__")
+
+
+def uncovered(rows: DataFrame, of: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The distinct keys of ``of`` that ``rows`` lacks; none if ``rows`` is a superset."""
+    return of.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti")

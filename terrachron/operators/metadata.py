@@ -70,3 +70,11 @@ def titles_by_date(footprints: DataFrame, releases: DataFrame) -> DataFrame:
     """
     named = footprints.join(releases.select("release_id", "title"), "release_id")
     return named.groupBy("capture_date").agg(F.array_join(F.array_sort(F.collect_set(F.nullif("title", F.lit("")))), ", ").alias("titles"))
+
+
+def source_or_name(source: Column, name: Column) -> Column:
+    """A candidate's own source record, else one of its provider's name alone, else null."""
+    kind = "struct<provider:string,description:string,resolution_m:double,accuracy_m:double,min_map_level:int,max_map_level:int>"
+    none = {"description": "string", "resolution_m": "double", "accuracy_m": "double", "min_map_level": "int", "max_map_level": "int"}
+    named = F.struct(F.nullif(name, F.lit("")).alias("provider"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    return F.coalesce(source.cast(kind), F.when(F.nullif(name, F.lit("")).isNotNull(), named))

@@ -66,3 +66,22 @@ def clipped_union(footprints: DataFrame, area: bytes, keys: list[str]) -> DataFr
     cut = footprints.select(*keys, clip("geom").alias("geom")).where("geom is not null")
     merged = cut.groupBy(*keys).agg(union("geom").alias("geometry"))
     return merged.withColumn("area_fraction", share("geometry"))
+
+
+def geometries_in_degrees(rows: DataFrame) -> DataFrame:
+    """``rows(rings, ...)`` in mercator metres with ``geom``, valid WKB in degrees, in place of the rings.
+
+    Outlines that cross themselves are cut where they do; rows without rings, or of
+    which nothing is left, go.
+    """
+
+    @F.pandas_udf("binary")
+    def shape(rings: pd.Series) -> pd.Series:
+        out = []
+        for r in rings:
+            own = Y.rings_to_polygons(r) if r is not None else []
+            valid = Y.overlay(Y.from_metres(own)) if own else []
+            out.append(Y.to_wkb(valid) if valid else None)
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("geom", shape(F.col("rings"))).drop("rings").where("geom is not null")

@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import archive as A
-from ..functions import codecs as C
+from ..functions import geometry as Y
 from ..functions import grids as G
 from ..functions import values as X
 from ..functions.jpeg import read_jpeg
-from ..operators import coverage, matching, metadata, quadtree, raster, releases, tiles
+from ..operators import coverage, matching, metadata, polygons, quadtree, raster, releases, tiles
 from ..operators.history import skip_chain
-from ..sources import catalogue
-from ..sources.payloads import attach
+from ..sources import catalogue, listing
+from ..sources.payloads import attach, keys_to_fetch, kind_of_store
 from ..streaming import controller
 from . import views as V
 from .queries import _M, AOI, MOSAIC_AOI, _LAT_Y, query
@@ -434,3 +434,93 @@ def raster_blocks(spark, sf_dir):
         return pd.DataFrame(out, columns=["red", "green", "blue", "seen"])
 
     return df.select("block_x", "block_y", "width", "height", one("pixels", "mask").alias("x")).select("block_x", "block_y", "width", "height", "x.*")
+
+
+@query("SELECT DISTINCT 'k' || CAST(l_partkey AS VARCHAR) AS key FROM lineitem WHERE l_partkey % 3 <> 0")
+def keys_not_stored(spark, sf_dir):
+    key = F.concat(F.lit("k"), F.col("l_partkey").cast("string"))
+    rows = V.read(spark, sf_dir, "lineitem").select(key.alias("key"))
+    kept = V.read(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(key.alias("key")).distinct()
+    return keys_to_fetch(rows, kept)
+
+
+@query(V.with_sql(V.CAPTURES, V.TILEMAPS.replace("tiles AS", "tiles AS", 1).split("ch AS")[0].rstrip().rstrip(",")) + """SELECT t.tile_col, t.tile_row, d.capture_date FROM tiles t CROSS JOIN (SELECT DISTINCT capture_date FROM captures WHERE capture_date >= DATE '1998-01-01') d
+  WHERE NOT EXISTS (SELECT 1 FROM captures c WHERE c.tile_col = t.tile_col AND c.tile_row = t.tile_row AND c.capture_date = d.capture_date AND c.part_no > 1)""")
+def dates_not_covered(spark, sf_dir):
+    """(tile, date) that the later parts lack, of all there could be: the superset check and what it finds."""
+    c = V.captures(spark, sf_dir)
+    every = c.select("tile_col", "tile_row").distinct().crossJoin(F.broadcast(c.where("capture_date >= date '1998-01-01'").select("capture_date").distinct()))  # 128 tiles, one row a month
+    return matching.uncovered(c.where("part_no > 1"), every, ("tile_col", "tile_row", "capture_date"))
+
+
+@query(V.with_sql(V.SOURCES) + """SELECT source_id, CASE WHEN source_id % 3 = 0 THEN source_provider WHEN source_id % 5 <> 0 THEN provider END AS provider,
+  CASE WHEN source_id % 3 = 0 THEN source_resolution_m END AS resolution_m, source_id % 3 <> 0 AND source_id % 5 = 0 AS nothing FROM sources""")
+def source_or_name(spark, sf_dir):
+    s = V.sources(spark, sf_dir)
+    record = F.struct(F.col("source_provider").alias("provider"), F.col("source_description").alias("description"), F.col("source_resolution_m").alias("resolution_m"), F.col("source_accuracy_m").alias("accuracy_m"), "min_map_level", "max_map_level")
+    own = F.when(F.col("source_id") % 3 == 0, record)
+    name = F.when(F.col("source_id") % 5 != 0, F.col("provider")).otherwise(F.lit(""))
+    return s.select("source_id", metadata.source_or_name(own, name).alias("s")).select("source_id", "s.provider", "s.resolution_m", F.col("s").isNull().alias("nothing"))
+
+
+@query("""SELECT s_suppkey, round(degrees(s_suppkey * 1000.0 / 6378137.0), 9) AS west, round(degrees(atan(sinh(s_suppkey * 500.0 / 6378137.0))), 9) AS south, round(degrees((s_suppkey * 1000.0 + 100) / 6378137.0), 9) AS east,
+  round(degrees(atan(sinh((s_suppkey * 500.0 + 100) / 6378137.0))), 9) AS north, CASE s_suppkey % 4 WHEN 1 THEN 5000.0::DOUBLE WHEN 2 THEN 7500.0::DOUBLE ELSE 10000.0::DOUBLE END AS area FROM supplier WHERE s_suppkey % 4 <> 3""")
+def geometries_in_degrees(spark, sf_dir):
+    """Recorded rings in metres: squares, squares that cross themselves, squares with a hole, and rows without any."""
+    k = F.col("s_suppkey")
+    at = lambda dx, dy: F.array(k * 1000.0 + dx, k * 500.0 + dy)
+    square = F.array(at(0, 0), at(0, 100), at(100, 100), at(100, 0), at(0, 0))
+    crossed = F.array(at(0, 0), at(100, 100), at(100, 0), at(0, 100), at(0, 0))
+    hole = F.array(at(25, 25), at(75, 25), at(75, 75), at(25, 75), at(25, 25))
+    rings = F.when(k % 4 == 0, F.array(square)).when(k % 4 == 1, F.array(crossed)).when(k % 4 == 2, F.array(square, hole))
+    rows = polygons.geometries_in_degrees(V.read(spark, sf_dir, "supplier").select("s_suppkey", rings.alias("rings")))
+
+    @F.pandas_udf("west double, south double, east double, north double, area double")
+    def measure(geom: pd.Series) -> pd.DataFrame:
+        out = []
+        for g in geom:
+            parts = Y.from_wkb(bytes(g))
+            x, y = zip(*[p for rings in parts for ring in rings for p in ring])
+            out.append((min(x), min(y), max(x), max(y), Y.mercator_area(parts)))
+        return pd.DataFrame(out, columns=["west", "south", "east", "north", "area"])
+
+    out = rows.select("s_suppkey", measure("geom").alias("m")).select("s_suppkey", "m.*")
+    return out.select("s_suppkey", *[_r(c).alias(c) for c in ("west", "south", "east", "north")], _r("area", 2).alias("area"))
+
+
+@query("""SELECT * FROM (VALUES ('429 then an answer', 2, 'answer'), ('three of 503 then an answer', 4, 'answer'), ('always 500', 4, 'failed'), ('403', 1, 'failed'), ('404', 1, 'not found'), ('broken line then an answer', 2, 'answer')) t(what, attempts, ends)""")
+def request_retries(spark, sf_dir):
+    cases = {"429 then an answer": [429, 0], "three of 503 then an answer": [503, 503, 503, 0], "always 500": [500] * 9, "403": [403, 0], "404": [404, 0], "broken line then an answer": [-1, 0]}
+    rows = []
+    for what, seen in cases.items():
+        asked: list[int] = []
+
+        def call(seen=seen, asked=asked):
+            status = seen[len(asked)]
+            asked.append(status)
+            if status == -1:
+                raise OSError("broken")
+            if status:
+                raise listing.StatusError(status)
+            return "answer"
+
+        try:
+            ends = listing.with_retries(call, pause=0)
+        except listing.NotFound:
+            ends = "not found"
+        except listing.RequestFailed:
+            ends = "failed"
+        rows.append((what, len(asked), ends))
+    return spark.createDataFrame(rows, "what string, attempts int, ends string")
+
+
+@query("SELECT * FROM (VALUES ('none', 'table'), ('file', 'file'), ('FILE by environment', 'file'), ('sqlite', 'refused')) t(what, kind)")
+def kinds_of_store(spark, sf_dir):
+    cases = {"none": (None, {}), "file": ("file", {}), "FILE by environment": (None, {"TERRACHRON_CACHE_KIND": "FILE"}), "sqlite": ("sqlite", {})}
+    rows = []
+    for what, (name, env) in cases.items():
+        try:
+            rows.append((what, kind_of_store(name, env)))
+        except ValueError:
+            rows.append((what, "refused"))
+    return spark.createDataFrame(rows, "what string, kind string")

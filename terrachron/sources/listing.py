@@ -28,15 +28,31 @@ class RequestFailed(Exception):
     """The service did not answer, even after some more attempts."""
 
 
+class StatusError(Exception):
+    """An answer with a status that is no success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+def passing(error: Exception) -> bool:
+    """Whether a failure may go by itself: of the transport, too many requests, or on the other side."""
+    return not isinstance(error, StatusError) or error.status == 429 or error.status >= 500
+
+
 def with_retries(call, retries: int = RETRIES, pause: float = PAUSE, sleep=time.sleep):
-    """``call()`` again after passing failures, waiting twice as long each time; ``NotFound`` passes at once."""
+    """``call()`` again after passing failures, waiting twice as long each time; ``NotFound``, which status 404
+    is too, and other statuses that won't change end it at once."""
     for attempt in range(retries + 1):
         try:
             return call()
         except NotFound:
             raise
-        except (OSError, RequestFailed) as e:
-            if attempt == retries:
+        except (OSError, RequestFailed, StatusError) as e:
+            if isinstance(e, StatusError) and e.status == 404:
+                raise NotFound(str(e)) from e
+            if attempt == retries or not passing(e):
                 raise RequestFailed(str(e)) from e
             sleep(pause * 2**attempt)
     raise AssertionError

@@ -57,3 +57,18 @@ def default_folder(env: dict[str, str] | None = None) -> Path:
 def attach(rows: DataFrame, payloads: DataFrame, key: str = "key") -> DataFrame:
     """``rows`` with the ``body`` stored for each one's key, null where there is none."""
     return rows.join(payloads.select(F.col("key").alias("k__"), "body"), F.col(key) == F.col("k__"), "left").drop("k__")
+
+
+def keys_to_fetch(rows: DataFrame, payloads: DataFrame, key: str = "key") -> DataFrame:
+    """``key``: the distinct keys of ``rows`` that no payload is stored for, so that each is asked for once."""
+    wanted = rows.select(F.col(key).alias("key")).where("key is not null").distinct()
+    return wanted.join(payloads.select("key"), "key", "left_anti")
+
+
+def kind_of_store(name: str | None = None, env: dict[str, str] | None = None) -> str:
+    """How payloads are kept: ``table`` or ``file``, as named or by the environment; anything else is refused."""
+    env = dict(os.environ) if env is None else env
+    chosen = (name or env.get("TERRACHRON_CACHE_KIND") or "table").lower()
+    if chosen not in ("table", "file"):
+        raise ValueError(f"payloads are kept as a table or as files, not {chosen!r}")
+    return chosen
