@@ -430,7 +430,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, most: int) -> Dat
             keep = [linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), percent) for x, y in zip(b.column("elements1"), b.column("elements2"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(_both(pairs, sets, ["elements"]).mapInArrow(trimmed(test), "a long, b long"), 20 * most)
+    return stored(_both(pairs, sets, ["elements"]).mapInArrow(trimmed(test), "a long, b long"), 100 * most)
 
 
 def counts_of_links(names: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, percent: int) -> np.ndarray:
