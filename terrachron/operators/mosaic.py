@@ -34,7 +34,7 @@ def union_length(spans: Column) -> Column:
 def union_area(boxes: Column) -> Column:
     """Area of the union of ``array<struct<x0, y0, x1, y1>>``: slabs between the sorted y ends.
 
-    Exact for any overlap; work is the number of ends times the number of boxes of one group.
+    Exact for any overlap; work is the number of ends times the number of boxes, so ``covered`` takes it cell by cell.
     """
     ys = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["y0"]), F.transform(boxes, lambda b: b["y1"]))))
 
@@ -47,6 +47,36 @@ def union_area(boxes: Column) -> Column:
     return F.aggregate(F.transform(ys, slab), F.lit(0.0), lambda a, v: a + v)
 
 
+#: Cells along either side of an area, in which unions are taken.
+CELLS = 32
+
+
+def covered(footprints: DataFrame, aoi: G.Box, keys: list[str]) -> DataFrame:
+    """``keys, area_fraction, n_footprints``: the share of the area that each group's boxes cover together.
+
+    Boxes are cut at the lines of a grid over the area and united cell by cell, so a
+    group's work is that of its cells, in any number of tasks, and then a sum. Groups
+    are equal with equal nulls; boxes off the area are dropped, ones that only touch it count.
+    """
+    left, top, right, bottom = _projected(aoi)
+    rows = footprints.withColumns({"x0": left, "y0": top, "x1": right, "y1": bottom}).where("x0 <= x1 and y0 <= y1")
+    x_lo, y_lo = (aoi.west + 180.0) / 360.0, G._lat_y(aoi.north)
+    wide, tall = (aoi.east - aoi.west) / 360.0 / CELLS, (G._lat_y(aoi.south) - y_lo) / CELLS
+    cell = lambda v, lo, size: F.least(F.lit(CELLS - 1), F.greatest(F.lit(0), F.floor((F.col(v) - lo) / size))).cast("int")
+    across, down = F.sequence(cell("x0", x_lo, wide), cell("x1", x_lo, wide)), F.sequence(cell("y0", y_lo, tall), cell("y1", y_lo, tall))
+    places = F.flatten(F.transform(across, lambda i: F.transform(down, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    cut = rows.select(*keys, "x0", "y0", "x1", "y1", F.posexplode(places).alias("nth", "cell"))
+    piece = F.struct(
+        F.greatest("x0", F.lit(x_lo) + F.col("cell.i") * wide).alias("x0"),
+        F.greatest("y0", F.lit(y_lo) + F.col("cell.j") * tall).alias("y0"),
+        F.least("x1", F.when(F.col("cell.i") == CELLS - 1, F.col("x1")).otherwise(F.lit(x_lo) + (F.col("cell.i") + 1) * wide)).alias("x1"),
+        F.least("y1", F.when(F.col("cell.j") == CELLS - 1, F.col("y1")).otherwise(F.lit(y_lo) + (F.col("cell.j") + 1) * tall)).alias("y1"),
+    )
+    by_cell = cut.groupBy(*keys, "cell").agg(union_area(F.collect_set(piece)).alias("area"), F.count_if(F.col("nth") == 0).alias("n"))
+    whole = wide * CELLS * tall * CELLS
+    return by_cell.groupBy(*keys).agg((F.sum("area") / whole).alias("area_fraction"), F.sum("n").alias("n_footprints"))
+
+
 def seam_map(footprints: DataFrame, aoi: G.Box) -> DataFrame:
     """``zoom, date, area_fraction, release_id`` and the source, from box footprints of one release.
 
@@ -55,10 +85,6 @@ def seam_map(footprints: DataFrame, aoi: G.Box) -> DataFrame:
     union, so overlaps count once. Footprints off the area are dropped, ones that
     only touch it stay with fraction 0. Order: zoom, newest first, then source.
     """
-    left, top, right, bottom = _projected(aoi)
-    rows = footprints.withColumns({"x0": left, "y0": top, "x1": right, "y1": bottom}).where("x0 <= x1 and y0 <= y1")
-    boxes = F.collect_set(F.struct("x0", "y0", "x1", "y1"))
-    groups = rows.groupBy("zoom", "capture_date", "release_id", *SOURCE).agg(boxes.alias("boxes"), F.count("*").alias("n_footprints"))
-    area = (aoi.east - aoi.west) / 360.0 * (G._lat_y(aoi.south) - G._lat_y(aoi.north))
-    out = groups.select("zoom", F.col("capture_date").alias("date"), (union_area(F.col("boxes")) / area).alias("area_fraction"), "release_id", "n_footprints", *SOURCE)
+    out = covered(footprints, aoi, ["zoom", "capture_date", "release_id", *SOURCE])
+    out = out.select("zoom", F.col("capture_date").alias("date"), "area_fraction", "release_id", "n_footprints", *SOURCE)
     return out.orderBy("zoom", F.desc("date"), *[F.col(c).asc_nulls_first() for c in SOURCE])

@@ -97,10 +97,7 @@ class Catalog:
         Q.at_most(chosen.select("object_id"), max_footprints)
         keys = ["capture_date"]
         if isinstance(aoi, G.Box):
-            left, top, right, bottom = mosaic._projected(aoi)
-            rows = chosen.withColumns({"x0": left, "y0": top, "x1": right, "y1": bottom}).where("x0 <= x1 and y0 <= y1")
-            area = (aoi.east - aoi.west) / 360.0 * (G._lat_y(aoi.south) - G._lat_y(aoi.north))
-            shares = rows.groupBy(*keys).agg((mosaic.union_area(F.collect_set(F.struct("x0", "y0", "x1", "y1"))) / area).alias("area_fraction"))
+            shares = mosaic.covered(chosen, aoi, keys).drop("n_footprints")
         else:
             shares = polygons.clipped_union(_shaped(chosen), aoi, keys)
         there = [p for p, _ in coverage.PROVENANCE if p in chosen.columns]
