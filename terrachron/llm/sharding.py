@@ -87,15 +87,22 @@ def _keyed(rows: DataFrame, old: int, large: int) -> DataFrame:
     return rows.withColumn("rank", F.when(F.col("block") == 0, -F.col("size")).otherwise(0))
 
 
-def _transferred(keyed: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows with ``row``, their number in the block from 1, and the new ``shard``."""
-    inside = Window.partitionBy("old_shard", "block").orderBy(*_ORDER)
+def _transferred(keyed: DataFrame, bounds: DataFrame, new: int) -> DataFrame:
+    """Rows with ``row``, their number in the block from 1, and the new ``shard``.
+
+    Blocks come together by the shard that gets their first rows, and lots of it, so what
+    is written by shard afterwards needs no other shuffle.
+    """
+    n = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = keyed.join(F.broadcast(bounds), ["old_shard", "block"])
+    rows = rows.withColumn("home", F.element_at("parts", 1)["shard"]).withColumn("lot", F.pmod("block", F.lit(max(1, n // new))))
+    rows = rows.repartition(n, "home", "lot")
+    inside = Window.partitionBy("home", "lot", "old_shard", "block").orderBy(*_ORDER)
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = keyed.withColumn("before", before).withColumn("row", F.row_number().over(inside))
-    rows = rows.join(F.broadcast(bounds), ["old_shard", "block"])
+    rows = rows.withColumn("before", before).withColumn("row", F.row_number().over(inside))
     middle = F.col("at") + F.col("before") + F.expr("size div 2")
     fits = F.filter("parts", lambda p: (p["lo"] <= middle) & (middle < p["hi"]))
-    return rows.withColumn("shard", F.coalesce(F.try_element_at(fits, F.lit(1))["shard"], F.element_at("parts", -1)["shard"])).drop("parts", "at", "before")
+    return rows.withColumn("shard", F.coalesce(F.try_element_at(fits, F.lit(1))["shard"], F.element_at("parts", -1)["shard"])).drop("parts", "at", "before", "home", "lot")
 
 
 def assign(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
@@ -106,9 +113,10 @@ def assign(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
     one id, and null ids, are placed one by one; ties go by size and checksum, and
     what is then equal is interchangeable. Other columns are carried once, in the
     last pass; the flow and the counts are made from the three. No rows give no rows;
-    columns named like those added, or ``h, block, rank, row``, are replaced.
+    columns named like those added, or ``h, block, rank, row, before, at, parts, first,
+    home, lot``, are dropped.
     """
-    docs = docs.drop("old_shard", "shard", "slot", "h", "block", "rank", "row", "before", "at", "parts", "first")
+    docs = docs.drop("old_shard", "shard", "slot", "h", "block", "rank", "row", "before", "at", "parts", "first", "home", "lot")
     spark, light = docs.sparkSession, stored(docs.select("doc_id", "size", "text_crc32"))
     total = int(light.agg(F.sum("size")).first()[0] or 0)
     large = max(1, total // new // LARGE)
@@ -130,26 +138,22 @@ def assign(docs: DataFrame, old: int = OLD, new: int = NEW) -> DataFrame:
         plan.append((int(i), int(b), int(at), [(lo, hi, j) for lo, hi, j in cuts.get(i, []) if lo < at + size and hi > at]))
     # bounded: at most old * BLOCKS rows, and a few more for split blocks
     bounds = spark.createDataFrame(plan, "old_shard int, block int, at long, parts array<struct<lo: long, hi: long, shard: int>>")
-    counts = _transferred(keyed, bounds).groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("row").alias("row")).toPandas()
+    counts = _transferred(keyed, bounds, new).groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"), F.min("row").alias("row")).toPandas()
     counts = counts.sort_values(["shard", "old_shard", "block"], ignore_index=True)
     counts["first"] = counts.groupby("shard")["n"].cumsum() - counts["n"] - counts["row"]
     firsts = spark.createDataFrame([tuple(map(int, r)) for r in counts[["shard", "old_shard", "block", "first"]].to_numpy()], "shard int, old_shard int, block int, first long")
-    out = _transferred(_keyed(docs, old, large), bounds).join(F.broadcast(firsts), ["shard", "old_shard", "block"])
+    out = _transferred(_keyed(docs, old, large), bounds, new).join(F.broadcast(firsts), ["shard", "old_shard", "block"])
     return out.select(*docs.columns, "old_shard", "shard", (F.col("first") + F.col("row")).alias("slot"))
 
 
-#: Rows of one file that ``rewrite`` writes, about.
-FILE_ROWS = 50_000
-
-
 def rewrite(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
     """Writes the shards that change and says where every shard's files are.
 
     ``rows`` are assigned rows with all columns to keep. A new shard whose rows are
     exactly an old shard's keeps its files (``path`` null); every other is written
     under ``root`` in a folder of this call, so readers of the old layout are not
-    disturbed, in files of some ``FILE_ROWS`` rows by slot. Gives ``shard, rows,
-    moved_bytes, path``, one row a shard.
+    disturbed. Rows as ``assign`` gives them lie by shard, and every task writes a file
+    for each shard it has. Gives ``shard, rows, moved_bytes, path``, one row a shard.
     """
     moved = F.sum(F.when(F.col("old_shard") != F.col("shard"), F.col("size")).otherwise(0))
     inward = rows.groupBy("shard").agg(F.count("*").alias("rows"), moved.alias("moved_bytes"))
@@ -157,10 +161,9 @@ def rewrite(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
     state = stored(inward.join(outward, "shard", "left"))
     changed = state.where("moved_bytes > 0 or gave").select("shard")
     path = f"{root.rstrip('/')}/layout-{uuid.uuid4().hex}"
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.join(F.broadcast(changed), "shard").repartition(n, "shard", F.floor(F.col("slot") / FILE_ROWS))  # at most ``new`` rows
+    own = rows.join(F.broadcast(changed), "shard")  # at most ``new`` rows
     with settings(spark, WRITING):
-        dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+        own.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     where = F.when((F.col("moved_bytes") > 0) | F.col("gave"), F.concat(F.lit(f"{path}/shard="), F.col("shard").cast("string")))
     return stored(state.select("shard", "rows", "moved_bytes", where.alias("path")))
 

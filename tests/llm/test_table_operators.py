@@ -312,9 +312,8 @@ def test_rewrite_keeps_what_does_not_change(spark, tmp_path):
     assert all(r.path is None for r in sharding.rewrite(spark, still, str(tmp_path)).collect())
 
 
-def test_layout_is_read_whole(spark, tmp_path, monkeypatch):
-    """Files of a few rows each, and shards that keep theirs, give every row back with its text."""
-    monkeypatch.setattr(sharding, "FILE_ROWS", 7)
+def test_layout_is_read_whole(spark, tmp_path):
+    """The files, and shards that keep theirs, give every row back with its text."""
     df = sharding.assign(sharding.with_bytes(spark.createDataFrame(shard_rows(), DOC))).withColumn("extra", F.lit("e"))
     mixed = df.withColumn("shard", F.when(F.col("old_shard") < 4, F.col("old_shard")).when(F.col("shard") < 4, 4).otherwise(F.col("shard")))
     for rows in (df, mixed):
