@@ -48,24 +48,6 @@ class _Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data + bytes(8), 0, len(data) * 8
 
-    def peek(self) -> int:
-        i = self.at >> 3
-        return int.from_bytes(self.data[i : i + 4], "big") >> (16 - (self.at & 7)) & 0xFFFF
-
-    def symbol(self, codes: list) -> int:
-        bits, symbol = codes[self.peek()]
-        self.at += bits
-        if not bits or self.at > self.end:
-            raise _Damaged
-        return symbol
-
-    def signed(self, bits: int) -> int:
-        if not bits:
-            return 0
-        value = self.peek() >> (16 - bits)
-        self.at += bits
-        return value if value >> (bits - 1) else value - (1 << bits) + 1
-
 
 def _segments(data: bytes):
     """``(marker, payload, place after it)`` up to and with the start of the scan."""
@@ -87,23 +69,44 @@ def _segments(data: bytes):
     raise _Damaged
 
 
-def _block(bits: _Bits, c: _Component, last: int) -> tuple[int, dict[int, int]]:
-    dc = last + bits.signed(bits.symbol(c.dc))
-    out, k = {0: dc}, 1
+def _block(bits: _Bits, c: _Component, last: int, base: int, places: list[int], values: list[int]) -> int:
+    """Reads one block's coefficients as places from ``base`` on and values; gives its first one."""
+    data, end, at, ac = bits.data, bits.end, bits.at, c.ac
+    peek = lambda p: int.from_bytes(data[p >> 3 : (p >> 3) + 4], "big") >> (16 - (p & 7)) & 0xFFFF
+    n, size = c.dc[peek(at)]
+    if not n:
+        raise _Damaged
+    at += n
+    if size:
+        v = peek(at) >> (16 - size)
+        at += size
+        last += v if v >> (size - 1) else v - (1 << size) + 1
+    places.append(base)
+    values.append(last)
+    k = 1
     while k < 64:
-        both = bits.symbol(c.ac)
-        run, size = both >> 4, both & 15
+        n, both = ac[peek(at)]
+        if not n or at > end:
+            raise _Damaged
+        at += n
+        size = both & 15
         if size == 0:
-            if run < 15:
+            if both < 0xF0:
                 break
             k += 16
             continue
-        k += run
+        k += both >> 4
         if k > 63:
             raise _Damaged
-        out[k] = bits.signed(size)
+        v = peek(at) >> (16 - size)
+        at += size
+        places.append(base + k)
+        values.append(v if v >> (size - 1) else v - (1 << size) + 1)
         k += 1
-    return dc, out
+    if at > end:
+        raise _Damaged
+    bits.at = at
+    return last
 
 
 def read_jpeg(data: bytes) -> np.ndarray | None:
@@ -158,7 +161,7 @@ def _read(data: bytes) -> np.ndarray | None:
     if end < 0:
         return None  # cut short
     runs = [_Bits(s.replace(b"\xff\x00", b"\xff")) for s in _RESTART.split(data[start:end])]
-    unit, last = 0, [0] * len(parts)
+    unit, last, found = 0, [0] * len(parts), [([], []) for _ in parts]
     for row in range(rows):
         for column in range(columns):
             bits = runs[unit // every] if every else runs[0]
@@ -167,11 +170,12 @@ def _read(data: bytes) -> np.ndarray | None:
             for i, c in enumerate(parts):
                 for y in range(c.down):
                     for x in range(c.across):
-                        last[i], found = _block(bits, c, last[i])
-                        planes[i][row * c.down + y, column * c.across + x, list(found)] = list(found.values())
+                        base = ((row * c.down + y) * columns * c.across + column * c.across + x) * 64
+                        last[i] = _block(bits, c, last[i], base, *found[i])
             unit += 1
     out = []
-    for c, plane in zip(parts, planes):
+    for c, plane, (places, values) in zip(parts, planes, found):
+        plane.reshape(-1)[places] = values
         flat = np.zeros_like(plane)
         flat[..., _PLACES] = plane * quant[c.table]
         px = np.einsum("ki,abkl,lj->aibj", _BASIS, flat.reshape(*plane.shape[:2], 8, 8), _BASIS) + 128

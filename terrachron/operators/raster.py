@@ -45,7 +45,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
 def first_decodable(candidates: DataFrame, tile: tuple[str, ...] = ("tile_col", "tile_row")) -> DataFrame:
     """Each tile's first candidate, by ``rank``, whose ``content`` is a tile that can be read; the later ones are not.
 
-    Candidates of a tile come to one task in order, and one row is held at a time.
+    Candidates of a tile come to one task in order, and one row is held at a time. The
+    number of tasks is stated: reading pixels takes long for few bytes.
     """
 
     def run(batches):
@@ -58,7 +59,8 @@ def first_decodable(candidates: DataFrame, tile: tuple[str, ...] = ("tile_col",
                 keep.append(ok)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    dealt = candidates.repartition(*tile).sortWithinPartitions(*tile, "rank")
+    n = max(1, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = candidates.repartition(n, *tile).sortWithinPartitions(*tile, "rank")
     return dealt.mapInArrow(run, candidates.schema)
 
 
