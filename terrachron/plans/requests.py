@@ -97,7 +97,7 @@ class Catalog:
         Q.at_most(chosen.select("object_id"), max_footprints)
         keys = ["capture_date"]
         if isinstance(aoi, G.Box):
-            shares = mosaic.covered(chosen, aoi, keys).drop("n_footprints")
+            shares = mosaic.covered(chosen, aoi, keys, ()).drop("n_footprints")
         else:
             shares = polygons.clipped_union(_shaped(chosen), aoi, keys)
         there = [p for p, _ in coverage.PROVENANCE if p in chosen.columns]

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import sqlite3
+import time
 
 import numpy as np
 import pytest
@@ -139,6 +140,53 @@ def test_seam_map(spark):
     assert [(r.zoom, str(r.date), r.source_provider, round(r.area_fraction, 9)) for r in got] == [(17, "2014-01-01", "P", 0.5), (17, "2014-01-01", "Q", 0.5), (17, "2013-01-01", "P", 0.0)]
 
 
+def lattice(aoi, n, boxes):
+    """The share of an area that boxes on its n by n lattice of degrees cover, square by square."""
+    seen = np.zeros((n, n), bool)
+    for i0, j0, i1, j1 in boxes:
+        seen[max(j0, 0) : max(j1, 0), max(i0, 0) : max(i1, 0)] = True
+    y = np.array([G._lat_y(aoi.south + (aoi.north - aoi.south) * k / n) for k in range(n + 1)])
+    return float((seen.mean(axis=1) * (y[:-1] - y[1:])).sum() / (y[0] - y[-1]))
+
+
+def on_lattice(spark, aoi, n, boxes):
+    at = lambda lo, hi, k: lo + (hi - lo) * k / n
+    rows = [(g, at(aoi.west, aoi.east, i0), at(aoi.south, aoi.north, j0), at(aoi.west, aoi.east, i1), at(aoi.south, aoi.north, j1)) for g, own in boxes.items() for i0, j0, i1, j1 in map(lambda b: map(int, b), own)]
+    return spark.createDataFrame(rows, "k string, west double, south double, east double, north double")
+
+
+def test_covered_is_the_union(spark):
+    """Boxes larger than cells, heaps of small ones and of strips inside a few cells, none at all but one that touches, and a null group."""
+    rng, n, aoi = np.random.default_rng(7), 640, G.Box(10.0, 40.0, 11.0, 41.0)
+    corner = lambda k, lo, hi: rng.integers(lo, hi, (k, 2))
+    spread = lambda at, wide, tall: np.hstack([at, at + np.stack([rng.integers(*wide, len(at)), rng.integers(*tall, len(at))], 1)])
+    boxes = {
+        "large": spread(corner(60, -40, n), (20, 150), (20, 150)),
+        "small": spread(corner(3000, 100, 190), (1, 3), (1, 3)),
+        "level": spread(corner(400, 300, 400), (1, 300), (1, 2)),
+        "upright": spread(corner(400, 300, 400), (1, 2), (1, 300)),
+        "corners": np.array([(321, 321, 322 + k, 640 - k) for k in range(300)]),
+        "edge": np.array([(n, 0, n + 5, 5)]),
+        None: np.array([(0, 0, n, n // 2)]),
+    }
+    got = {r.k: r for r in mosaic.covered(on_lattice(spark, aoi, n, boxes), aoi, ["k"], ()).collect()}
+    assert set(got) == set(boxes)
+    for k, own in boxes.items():
+        assert got[k].area_fraction == pytest.approx(lattice(aoi, n, own), abs=1e-9), k
+        assert got[k].n_footprints == len({tuple(np.clip(b, 0, n)) for b in own if min(b[2:]) >= 0})
+
+
+def test_covered_takes_many_boxes_of_a_group(spark):
+    """Boxes that cover whole cells are not compared with each other: minutes of work, were they."""
+    aoi, k = G.Box(-122.41, 37.783, -122.385, 37.796), F.col("id")
+    west, south = (F.lit(-122420000) + k * 7919 % 40000) / 1e6, (F.lit(37780000) + k * 104729 % 20000) / 1e6
+    wide, tall = (F.lit(2000) + k % 7 * 500) / 1e6, (F.lit(1500) + k % 5 * 400) / 1e6
+    rows = spark.range(60_000).select((k % 2).alias("k"), west.alias("west"), south.alias("south"), (west + wide).alias("east"), (south + tall).alias("north"))
+    began = time.perf_counter()
+    got = mosaic.covered(rows, aoi, ["k"], ()).collect()
+    assert [round(r.area_fraction, 9) for r in got] == [1.0, 1.0] and time.perf_counter() - began < 60
+
+
 def test_polygon_coverage_agrees_with_boxes(spark):
     aoi = G.Box(0.1, 0.2, 2.3, 1.9)
     wkb = Y.to_wkb([Y.box(aoi.west, aoi.south, aoi.east, aoi.north)])
