@@ -149,11 +149,12 @@ def covered(footprints: DataFrame, aoi: G.Box, keys: list[str], each: tuple[str,
 def seam_map(footprints: DataFrame, aoi: G.Box) -> DataFrame:
     """``zoom, date, area_fraction, release_id`` and the source, from box footprints of one release.
 
-    ``footprints(zoom, capture_date, release_id, west, south, east, north, <source>)``.
+    ``footprints(zoom, capture_date, release_id, object_id, west, south, east, north, <source>)``.
+    An object that several rows of a group show by the same box is one footprint.
     Groups are (zoom, date, source) with nulls equal; the fraction is that of the
     union, so overlaps count once. Footprints off the area are dropped, ones that
     only touch it stay with fraction 0. Order: zoom, newest first, then source.
     """
-    out = covered(footprints, aoi, ["zoom", "capture_date", "release_id", *SOURCE])
+    out = covered(footprints, aoi, ["zoom", "capture_date", "release_id", *SOURCE], ("object_id",))
     out = out.select("zoom", F.col("capture_date").alias("date"), "area_fraction", "release_id", "n_footprints", *SOURCE)
     return out.orderBy("zoom", F.desc("date"), *[F.col(c).asc_nulls_first() for c in SOURCE])

@@ -187,6 +187,14 @@ def test_covered_takes_many_boxes_of_a_group(spark):
     assert [round(r.area_fraction, 9) for r in got] == [1.0, 1.0] and time.perf_counter() - began < 60
 
 
+def test_seam_map_counts_an_object_once(spark):
+    """Two sources with equal fields may show one object by one box."""
+    row = lambda i, east, p="P": (17, "A", i, D("2014-01-01"), 0.0, 0.0, east, 2.0, p, None, 0.5, None, 1, 2)
+    rows = [row(1, 1.0), row(1, 1.0), row(1, 1.5), row(2, 1.0), row(1, 1.0, "Q"), row(3, 2.0, "Q"), row(3, 9.0, "Q"), row(None, 1.0, "R"), row(None, 1.0, "R")]
+    got = mosaic.seam_map(spark.createDataFrame(rows, FOOT), G.Box(0, 0, 2, 2)).collect()
+    assert [(r.source_provider, round(r.area_fraction, 9), r.n_footprints) for r in got] == [("P", 0.75, 3), ("Q", 1.0, 2), ("R", 0.5, 1)]
+
+
 def test_polygon_coverage_agrees_with_boxes(spark):
     aoi = G.Box(0.1, 0.2, 2.3, 1.9)
     wkb = Y.to_wkb([Y.box(aoi.west, aoi.south, aoi.east, aoi.north)])
